@@ -27,7 +27,7 @@ from voxtab.plans.lineage import materialize
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Pieces that one task ranks at most, about.
-RANK_ROWS = 100_000
+RANK_ROWS = 5_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = 4096, eos: int = 2, with_ids: bool = False) -> DataFrame:

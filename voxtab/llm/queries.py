@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
+from voxtab.llm import langid, toxicity
 from voxtab.llm.packing import pack_documents
 
 
@@ -16,6 +17,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing}
+def _id_crc(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_id_crc(4) != 2))
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(_id_crc(4) == 2, F.lit(False)))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels whose id's CRC-32 is no multiple of 5."""
+    return toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where(_id_crc(5) != 0))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.withColumn("held_out", F.coalesce(_id_crc(5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
