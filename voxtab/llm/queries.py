@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.llm import langid, toxicity
+from voxtab.llm.jaccard import jaccard_components
 from voxtab.llm.packing import pack_documents
 
 
@@ -37,6 +38,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(_id_crc(5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
