@@ -28,14 +28,24 @@ class Model(NamedTuple):
     logs: list[np.ndarray]
 
 
-def _counted(hashes: np.ndarray, langs: np.ndarray, n_lang: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log frequencies of the entries seen at least `least` times, the `most` commonest; one missing in a language counts half."""
+def _merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums the rows of counts by hash."""
     keys, at = np.unique(hashes, return_inverse=True)
-    counts = np.zeros((len(keys), n_lang))
-    np.add.at(counts, (at, langs), 1.0)
-    total = np.maximum(counts.sum(0), 1)
-    seen = counts.sum(1)
-    keep = np.flatnonzero(seen >= least)
+    return keys, np.stack([np.bincount(at, counts[:, k], minlength=len(keys)) for k in range(counts.shape[1])], 1)
+
+
+def _order_table(texts: list[str], number: np.ndarray, n_lang: int, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and log frequencies of the commonest words (n = 0) or n-grams; one missing in a language counts half."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros((0, n_lang))
+    for b in char_blocks(texts):
+        if not len(b.start):
+            continue
+        word, h = (np.arange(len(b.start)), b.word_hashes()) if n == 0 else b.ngrams(n)
+        u, at = np.unique(h, return_inverse=True)
+        c = np.bincount(at * n_lang + number[b.lo + b.doc[word]], minlength=len(u) * n_lang).reshape(-1, n_lang)
+        keys, counts = _merged(np.concatenate([keys, u]), np.concatenate([counts, c]))
+    total, seen = np.maximum(counts.sum(0), 1), counts.sum(1)
+    keep = np.flatnonzero(seen >= (3 if n == 0 else 5))
     keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[:most]])
     return keys[keep], np.log(np.maximum(counts[keep], 0.5) / total).astype(np.float32)
 
@@ -44,21 +54,11 @@ def fit_texts(texts: list[str], langs: list[str], most: int = 60_000) -> Model:
     """A model from texts and their languages; at most `most` entries of each order."""
     names = sorted(set(langs))
     number = np.array([names.index(x) for x in langs], np.int64)
-    found: list[list] = [[] for _ in range(LONGEST + 1)]
-    owner: list[list] = [[] for _ in range(LONGEST + 1)]
-    for b in char_blocks(texts):
-        of = number[b.lo + b.doc] if len(b.doc) else np.zeros(0, np.int64)
-        found[0].append(b.word_hashes())
-        owner[0].append(of)
-        for n in range(1, LONGEST + 1):
-            word, h = b.ngrams(n)
-            found[n].append(h)
-            owner[n].append(of[word])
-    tables = [_counted(np.concatenate(h), np.concatenate(o), len(names), most, 3 if n == 0 else 5) for n, (h, o) in enumerate(zip(found, owner))] if texts else []
+    tables = [_order_table(texts, number, len(names), n, most) for n in range(LONGEST + 1)] if texts else []
     return Model(names, [t[0] for t in tables], [t[1] for t in tables])
 
 
-def fit(docs: DataFrame, per_language: int = 800) -> Model:
+def fit(docs: DataFrame, per_language: int = 400) -> Model:
     """Trains on about per_language rows of each value of lang, chosen by a hash of the id (all, if fewer).
 
     docs: doc_id, text, lang; rows with a null in text or lang are left out.
