@@ -66,9 +66,9 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
             continue
         word, bucket, weight = _features(b)
         key, at = np.unique(b.doc[word] * BUCKETS + bucket, return_inverse=True)
-        docs.append(key // BUCKETS + b.lo)
-        buckets.append(key % BUCKETS)
-        weights.append(np.bincount(at, weight))
+        docs.append((key // BUCKETS + b.lo).astype(np.int32))
+        buckets.append((key % BUCKETS).astype(np.int32))
+        weights.append(np.bincount(at, weight).astype(np.float32))
         sizes[b.lo : b.hi] = np.diff(b.first)
     if not docs:
         return np.zeros(BUCKETS, np.float32), 0.0
