@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxtab.llm import langid, toxicity
 from voxtab.llm.jaccard import jaccard_components
 from voxtab.llm.packing import pack_documents
+from voxtab.llm.substring import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
