@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from voxtab.llm import langid, toxicity
 from voxtab.llm.jaccard import jaccard_components
+from voxtab.llm.linededup import without_repeated_lines
 from voxtab.llm.packing import pack_documents
 from voxtab.llm.substring import repeated_passages
+from voxtab.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+        k AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to, payload_digest AS declared_digest,
+               CAST(CASE WHEN top <> page_id OR payload_bytes = 0 THEN 1 ELSE ceil(payload_bytes / 1048576.0) END AS INTEGER) AS chunks
+        FROM p LEFT JOIN k USING (payload_digest)
+    """,
+}
