@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import langid, toxicity
+from voxtab.llm import langid, quality, toxicity
 from voxtab.llm.jaccard import jaccard_components
 from voxtab.llm.linededup import without_repeated_lines
+from voxtab.llm.neighbours import nearest
 from voxtab.llm.packing import pack_documents
 from voxtab.llm.substring import repeated_passages
 from voxtab.llm.warc import archive_round_trip
+from voxtab.plans.lineage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,20 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    strata = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("stratum")).dropDuplicates(["doc_id"])
+    counted = materialize(quality.text_counts(docs).join(strata, "doc_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit("und"))))
+    labels = _table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 1).alias("good"))
+    cutoffs = quality.choose_cutoffs(counted.where(~quality.base_failed()).join(labels, "doc_id"))
+    return quality.judge(counted, cutoffs)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

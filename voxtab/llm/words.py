@@ -44,6 +44,12 @@ class Words(NamedTuple):
     end: np.ndarray
     data: np.ndarray
     byte_first: np.ndarray
+    sums: np.ndarray
+    inverse: np.ndarray
+
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +96,7 @@ def word_blocks(column: pa.Array, lower: bool = True, block_bytes: int = 1 << 21
         h = mix((sums[end] - sums[start]) * inverse[start])
         first = np.searchsorted(start, byte_first).astype(np.int64)
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
-        yield Words(lo, hi, first, doc, h, start, end, raw, byte_first)
+        yield Words(lo, hi, first, doc, h, start, end, raw, byte_first, sums, inverse)
         lo = hi
 
 
