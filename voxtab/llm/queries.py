@@ -10,6 +10,7 @@ from voxtab.llm.jaccard import jaccard_components
 from voxtab.llm.linededup import without_repeated_lines
 from voxtab.llm.neighbours import nearest
 from voxtab.llm.packing import pack_documents
+from voxtab.llm.pieces import encode_nbest
 from voxtab.llm.substring import repeated_passages
 from voxtab.llm.warc import archive_round_trip
 from voxtab.plans.lineage import materialize
@@ -73,7 +74,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_nbest(_table(spark, sf_dir, "documents"), n_best=3, with_ids=False).drop("ids")
+
+
+QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

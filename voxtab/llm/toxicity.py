@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtab.llm.chars import CharBlock, char_blocks
 
@@ -187,3 +188,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+
+
+def score_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with all its columns and toxicity_score; a column of that name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    base = docs.drop("toxicity_score")
+    at = base.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            z = window_logits(b.column(at).to_pylist(), m.value, m.bias)
+            p = 1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "toxicity_score"])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("toxicity_score", T.DoubleType())]))
