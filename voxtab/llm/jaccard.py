@@ -4,10 +4,11 @@
    into a table of hashed counters of fixed size, which orders shingles rare first.
 2. Each class gives the rarest n - ceil(t n) + 1 shingles of its set; two linked
    classes share one of them. Length and position of a shared shingle bound the
-   overlap, counts of the set's parts (a suffix filter) bound it again, and what
-   is left is verified on the whole sets, once per pair.
+   overlap, parities of the set's parts (a suffix filter) bound its difference,
+   and what is left is verified on the whole sets, once per pair.
 3. Groups of copies would give all their pairs, so links are found in rounds: every
-   member of a prefix group is held against one leader, then against another, and
+   class is held against the leader that it shares most tokens with, then against
+   all leaders of its prefix groups, then against the class before it in each, and
    only pairs that are still in different components are compared in the last
    round. Pairs within a component cannot change the components, so no link that
    matters is lost, and no cap is needed.
@@ -29,16 +30,27 @@ from voxtab.plans.lineage import materialize
 
 COUNTERS = 1 << 20
 PART = 1 << 12
-SUFFIX_PARTS = 32
+PARITY_WORDS = 8
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> U(44)).astype(np.int64)
 
 
+def _parities(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words per set: bit b says whether an odd number of its shingles fall into part b.
+
+    Two sets differ in at least as many shingles as their parities do in bits.
+    """
+    m, bits = len(first) - 1, 64 * PARITY_WORDS
+    part = np.repeat(np.arange(m), np.diff(first)) * bits + (h & U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=m * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: one row per document (doc_id, size, key, parts); kind 1: blocks of shingle counters of a task."""
-    schema = "kind int, doc_id bigint, size int, key bigint, parts array<int>, block int, counts binary"
+    """kind 0: one row per document (doc_id, size, key, parity); kind 1: blocks of shingle counters of a task."""
+    schema = "kind int, doc_id bigint, size int, key bigint, parity array<bigint>, block int, counts binary"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -49,15 +61,13 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 first, h = shingle_sets(w, n)
                 counters += np.bincount(_bucket(h), minlength=COUNTERS).astype(np.uint32)
                 m = w.hi - w.lo
-                part = np.repeat(np.arange(m), np.diff(first)) * SUFFIX_PARTS + (h & U(SUFFIX_PARTS - 1)).astype(np.int64)
-                parts = np.bincount(part, minlength=m * SUFFIX_PARTS).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * SUFFIX_PARTS), pa.array(parts))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * PARITY_WORDS), pa.array(_parities(first, h)))
                 cols = [pa.array(np.zeros(m, np.int32)), ids.slice(w.lo, m), pa.array(np.diff(first).astype(np.int32)), pa.array(same_bits(set_keys(first, h))), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         used = [k for k in range(COUNTERS // PART) if counters[k * PART : (k + 1) * PART].any()]
         blocks = [zlib.compress(counters[k * PART : (k + 1) * PART].tobytes(), 1) for k in used]
         m = len(used)
-        cols = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())]
+        cols = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -86,30 +96,86 @@ def shingle_counters(signs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """(token, key, size, pos): the prefix of each document's set in rare-first order."""
+    """(token, key, size, pos): the prefix of each set in rare-first order, once per task however many copies it has."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers, whatever the input
 
     def run(batches):
+        given: set[int] = set()
         for b in batches:
             for w in word_blocks(b.column(0)):
                 first, h = shingle_sets(w, n)
-                size = np.diff(first)
+                keys, size = set_keys(first, h), np.diff(first)
+                new = np.zeros(len(size), bool)
+                new[np.unique(keys, return_index=True)[1]] = True
+                new &= ~np.array([k in given for k in keys.tolist()], bool)
+                given.update(keys[new].tolist())
                 doc = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((h, shared.value[_bucket(h)], doc))
                 pos = np.arange(len(h)) - np.repeat(first[:-1], size)
                 length = size - -(-percent * size // 100) + 1
-                keep = pos < length[doc]
+                keep = (pos < length[doc]) & new[doc]
                 doc = doc[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(same_bits(h[order][keep])), pa.array(same_bits(set_keys(first, h))[doc]), pa.array(size[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    [pa.array(same_bits(h[order][keep])), pa.array(same_bits(keys)[doc]), pa.array(size[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
                     names=["token", "key", "size", "pos"],
                 )
 
     return docs.select("text").mapInArrow(run, "token bigint, key bigint, size int, pos int")
 
 
+GROUPS = "token bigint, key bigint, size int, pos int, lo_key bigint, lo_size int, lo_pos int, hi_key bigint, hi_size int, hi_pos int"
+
+
+def prefix_groups(prefix: DataFrame) -> DataFrame:
+    """Rows of GROUPS: tokens of two classes or more, each row with the group's first class (lo) and the one before it (hi).
+
+    The group's own first row has itself as lo and no hi. Rows come sorted, so a
+    task holds one batch, whatever the size of a group.
+    """
+    names = [f.split()[0] for f in GROUPS.split(", ")]
+
+    def run(batches):
+        last = lead = None  # the row before, and the first row of its group
+        pending = False  # whether that row is such a first row, not yet given
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            if last is None:
+                last = lead = np.array([~cols[0, 0], 0, 0, 0])  # another token than the first
+            cols = np.concatenate([last[:, None], cols], 1)
+            fresh = np.ones(cols.shape[1], bool)
+            fresh[1:] = (cols[0, 1:] != cols[0, :-1]) | (cols[1, 1:] != cols[1, :-1])
+            cols = cols[:, fresh]
+            n = cols.shape[1]
+            begins = np.ones(n, bool)
+            begins[1:] = cols[0, 1:] != cols[0, :-1]
+            begins[0] = pending
+            start = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+            heads = cols[:, start].copy()
+            heads[:, start == 0] = lead[:, None]
+            member = np.arange(n) > 0
+            member[1:] &= cols[0, 1:] == cols[0, :-1]
+            first = begins.copy()
+            first[:-1] &= member[1:]
+            first[-1] = False
+            out = []
+            for pick, low, high in ((first, cols, None), (member, heads, np.roll(cols, 1, 1))):
+                m = int(pick.sum())
+                part = [*cols[:, pick], *low[1:, pick]]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                arrays = [pa.array(x).cast(k) for x, k in zip(part, kinds)]
+                arrays += [pa.nulls(m, k) for k in kinds[4:]] if high is None else [pa.array(x).cast(k) for x, k in zip(high[1:, pick], kinds[4:])]
+                out.append(pa.RecordBatch.from_arrays(arrays, names=names))
+            yield from out
+            last, lead, pending = cols[:, -1].copy(), heads[:, -1].copy(), bool(begins[-1])
+
+    dealt = prefix.repartition("token").sortWithinPartitions("token", "key")
+    return dealt.select("token", "key", "size", "pos").mapInArrow(run, GROUPS)
+
+
 def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the classes of wanted (doc_id, key): each from its representative."""
+    """(key, shingles) of the classes of wanted (doc_id, key), and perhaps of a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "doc_id"))
 
     def run(batches):
@@ -118,10 +184,9 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             for w in word_blocks(b.column(1)):
                 first, h = shingle_sets(w, n)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(same_bits(h)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.lo, w.hi - w.lo), pa.array(same_bits(set_keys(first, h))), lists], names=["doc_id", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(same_bits(set_keys(first, h))), lists], names=["key", "shingles"])
 
-    sets = docs.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, "doc_id bigint, key bigint, shingles array<bigint>")
-    return sets.join(wanted, ["doc_id", "key"], "left_semi").drop("doc_id").dropDuplicates(["key"])
+    return docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, "key bigint, shingles array<bigint>").dropDuplicates(["key"])
 
 
 def _bounded(a: str, b: str, percent: int):
@@ -143,39 +208,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     signs = materialize(signatures(docs, n))
-    sig = signs.where("kind = 0").select("doc_id", "size", "key", "parts")
+    sig = signs.where("kind = 0").select("doc_id", "size", "key", "parity")
     classes = sig.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    # Every row of a class has the same parts; those of its representative stand for it.
+    # Every row of a class has the same parity; those of its representative stand for it.
     about = materialize(sig.join(classes, ["doc_id", "key"]).dropDuplicates(["key"]))
 
-    prefix = materialize(prefixes(docs, n, percent, shingle_counters(signs)))
-    ends = prefix.groupBy("token").agg(F.min(F.struct("key", "size", "pos")).alias("lo"), F.max(F.struct("key", "size", "pos")).alias("hi"))
-    groups = prefix.join(ends.where("lo.key <> hi.key"), "token").distinct()
-    groups = materialize(groups.select("token", "key", "size", "pos", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("lo", "hi") for c in ("key", "size", "pos")]))
+    prefix = prefixes(docs, n, percent, shingle_counters(signs))
+    groups = materialize(prefix_groups(prefix))
 
     links = tried = comp = None
-    for leader in ("lo", "hi", None):
+    for leader in ("best", "lo", "hi", None):
         rows = groups
         if comp is not None:
             rows = rows.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
             spread = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
             rows = rows.join(spread, "token", "left_semi")
+        else:
+            rows = rows.withColumn("comp", F.col("key"))
         if leader:
-            pairs = rows.where(F.col("key") != F.col(f"{leader}_key")).where(_bounded("", f"{leader}_", percent))
+            end = "lo" if leader == "best" else leader
+            pairs = rows.where(F.col("key") != F.col(f"{end}_key")).where(_bounded("", f"{end}_", percent))
             if comp is not None:
-                heads = comp.select(F.col("key").alias(f"{leader}_key"), F.col("comp").alias("head"))
-                pairs = pairs.join(heads, f"{leader}_key", "left").where(F.col("comp") != F.coalesce("head", f"{leader}_key"))
-            pairs = pairs.select(F.least("key", f"{leader}_key").alias("a"), F.greatest("key", f"{leader}_key").alias("b"))
+                heads = comp.select(F.col("key").alias(f"{end}_key"), F.col("comp").alias("head"))
+                pairs = pairs.join(heads, f"{end}_key", "left").where(F.col("comp") != F.coalesce("head", f"{end}_key"))
+            if leader == "best":
+                counted = pairs.groupBy("key", "lo_key").agg(F.count("*").alias("n"))
+                pairs = counted.groupBy("key").agg(F.max(F.struct("n", "lo_key"))["lo_key"].alias("lo_key"))
+            pairs = pairs.select(F.least("key", f"{end}_key").alias("a"), F.greatest("key", f"{end}_key").alias("b"))
         else:
-            rows = materialize(rows.select("token", "key", "size", "pos", "comp"))
-            left = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "size", "pos", "comp")])
-            right = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "size", "pos", "comp")])
-            meet = (left["token"] == right["token"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_comp") != F.col("b_comp")) & _bounded("a_", "b_", percent)
+            rows = rows.select("token", "key", "size", "pos", "comp").join(about.select("key", "parity"), "key")
+            rows = materialize(rows)
+            left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "pos", "comp", "parity")]) for x in "ab")
+            meet = (left["token"] == right["token"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_comp") != F.col("b_comp"))
+            meet &= _bounded("a_", "b_", percent) & _near("a_parity", "b_parity", "a_size", "b_size", percent)
             pairs = left.join(right, meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(_suffix_filter(pairs, about, percent))
+        pairs = materialize(_suffix_filter(pairs, about, percent) if leader else pairs)
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -193,18 +263,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _near(pa_: str, pb: str, na: str, nb: str, percent: int):
+    """Whether two sets may differ little enough for a link, by the parities of their parts."""
+    bits = sum((F.bit_count(F.get(pa_, F.lit(i)).bitwiseXOR(F.get(pb, F.lit(i)))) for i in range(1, PARITY_WORDS)), F.bit_count(F.get(pa_, F.lit(0)).bitwiseXOR(F.get(pb, F.lit(0)))))
+    return bits * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def _suffix_filter(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets could overlap enough, judged by how many shingles fall into each of SUFFIX_PARTS parts."""
-    side = lambda x: about.select(F.col("key").alias(x), F.col("size").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
+    """Pairs whose sets may be near enough, by their parities."""
+    side = lambda x: about.select(F.col("key").alias(x), F.col("size").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    return both.where(_near("pa", "pb", "na", "nb", percent)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, about: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that link, by the intersection of their whole sets."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = materialize(whole_sets(docs, n, about.join(keys, "key", "left_semi").select("doc_id", "key")))
+    sets = whole_sets(docs, n, about.join(keys, "key", "left_semi").select("doc_id"))
     side = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("common") * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")

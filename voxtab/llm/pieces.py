@@ -4,8 +4,10 @@ The lattice of a text has an edge for every piece that matches. A forward Viterb
 pass gives each position the best score up to it; a backward A* search from the
 end uses these scores as its exact heuristic, so the first n paths that reach the
 start are the n best. No piece of the model holds a word mark after another
-character, so the lattice parts into chunks at the marks; chunks are searched one
-by one, remembered, and a text's n best are the n least losses over its chunks.
+character, so the lattice parts into chunks at the marks. Each chunk's best path
+and the loss of its second best (a backward pass over the same edges) are
+remembered; only the n - 1 chunks of least loss of a text can differ in its n best
+paths, and these alone are searched.
 Scores are the model's own (of a BPE vocabulary: minus the rank of a merge).
 """
 
@@ -62,6 +64,7 @@ class PieceLattice:
                 self.edges.setdefault(piece[:j], None)
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.beside: dict[str, list] = {}
 
     def search(self, text: str) -> list[tuple[float, bytes]]:
         """The n best (score, ids) of one chunk, best first; ties go to the path whose last pieces are shorter."""
@@ -102,50 +105,105 @@ class PieceLattice:
                 heappush(heap, (-(g + score + best[i]), i, count, g + score, (ids, path)))
         return out
 
-    def chunk(self, text: str) -> tuple:
-        """(score, ids, least loss, all of search()) of a chunk, remembered for two generations."""
+    def best(self, text: str) -> tuple[float, bytes, float]:
+        """(score, ids) of the best path of one chunk, and what the second best scores less."""
+        n, get = len(text), self.edges.get
+        fwd, into = [0.0] + [-1e300] * n, [0] * (n + 1)
+        edges: list[tuple] = []
+        for i in range(n):
+            b, j, single = fwd[i], i + 1, False
+            while j <= n:
+                e = get(text[i:j], 0)
+                if e == 0:
+                    break
+                if e:
+                    if j == i + 1:
+                        single = True
+                    v = b + e[0]
+                    if v > fwd[j]:
+                        fwd[j], into[j] = v, len(edges)
+                    edges.append((i, j, e[0], e[1]))
+                j += 1
+            if not single:
+                v, j = b + self.rest, i + 1
+                if v > fwd[j]:
+                    fwd[j], into[j] = v, len(edges)
+                edges.append((i, j, self.rest, np.array([self.byte_ids[x] for x in text[i].encode("utf-8", "replace")], "<u4").tobytes()))
+        path, pos = [], n
+        while pos:
+            path.append(into[pos])
+            pos = edges[into[pos]][0]
+        on, second = set(path), -1e300
+        bwd = [-1e300] * n + [0.0]
+        for k in range(len(edges) - 1, -1, -1):
+            i, j, score, _ = edges[k]
+            v = score + bwd[j]
+            if v > bwd[i]:
+                bwd[i] = v
+            if k not in on and v + fwd[i] > second:
+                second = v + fwd[i]
+        return fwd[n], b"".join([edges[k][3] for k in reversed(path)]), fwd[n] - second if second > -1e299 else np.inf
+
+    def chunk(self, text: str) -> tuple[float, bytes, float]:
+        """best() of a chunk, remembered for two generations."""
         e = self.young.get(text)
         if e is None:
-            e = self.old.get(text)
-            if e is None:
-                found = self.search(text)
-                e = (found[0][0], found[0][1], found[0][0] - found[1][0] if len(found) > 1 else np.inf, found)
+            e = self.old.get(text) or self.best(text)
             if len(text) <= CACHE_LENGTH:
                 if len(self.young) >= CACHE_CHUNKS:
                     self.old, self.young = self.young, {}
                 self.young[text] = e
         return e
 
-    def encode(self, text: str | None) -> list[tuple[float, bytes]]:
-        """The n best (score, ids as little-endian 32-bit numbers) of a text; one empty path for null and empty texts."""
+    def others(self, text: str, ids: bytes) -> list[tuple[float, bytes]]:
+        """The n - 1 best paths of a chunk besides the one of ids."""
+        found = self.beside.get(text)
+        if found is None:
+            found = [f for f in self.search(text) if f[1] != ids][: self.n_best - 1]
+            if len(self.beside) >= 50_000:
+                self.beside.clear()
+            if len(text) <= CACHE_LENGTH:
+                self.beside[text] = found
+        return found
+
+    def encode(self, text: str | None) -> list[tuple[float, bytes, bool]]:
+        """The n best (score, ids as little-endian 32-bit numbers, whether they decode to the text).
+
+        One empty path for null and empty texts.
+        """
         if not text:
-            return [(0.0, b"")]
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
+            return [(0.0, b"", True)]
+        whole = MARK + text.replace(" ", MARK)
+        chunks = CHUNK.findall(whole)
         get, chunk = self.young.get, self.chunk
-        entries = [get(c) or chunk(c) for c in chunks]
-        scores, ids, losses, _ = zip(*entries)
-        base = sum(scores)
+        scores, ids, losses = zip(*[get(c) or chunk(c) for c in chunks])
+        base, joined = sum(scores), b"".join(ids)
+        same = self.spell(joined) == whole.encode("utf-8", "replace")
+        out = [(base, joined, same)]
+        if self.n_best == 1:
+            return out
         # A path that changes a chunk outside the n - 1 of least loss is beaten by n others.
         loss = np.array(losses)
-        near = np.argsort(loss, kind="stable")[: self.n_best - 1] if len(loss) <= 64 else np.sort(np.argpartition(loss, self.n_best - 1)[: self.n_best - 1])
+        near = range(len(loss)) if len(loss) < self.n_best else np.argpartition(loss, self.n_best - 2)[: self.n_best - 1].tolist()
         combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in sorted(near.tolist()):
-            if loss[i] == np.inf:
-                continue
-            found = entries[i][3]
-            combos = sorted((lost + found[0][0] - f[0], change + ((i, k),) if k else change) for lost, change in combos for k, f in enumerate(found))[: self.n_best]
-        out = []
-        for lost, change in combos[: self.n_best]:
-            parts = list(ids) if change else ids
-            for i, k in change:
-                parts[i] = entries[i][3][k][1]
-            out.append((base - lost, b"".join(parts)))
+        for i in sorted(near):
+            if loss[i] < np.inf:
+                more = [(0.0, None), *((scores[i] - s, x) for s, x in self.others(chunks[i], ids[i]))]
+                combos = sorted((lost + d, change + ((i, x),) if x is not None else change) for lost, change in combos for d, x in more)[: self.n_best]
+        for lost, change in combos[1:]:
+            parts = list(ids)
+            for i, x in change:
+                parts[i] = x
+            out.append((base - lost, b"".join(parts), same and all(self.spell(x) == chunks[i].encode("utf-8", "replace") for i, x in change)))
         return out
 
+    def spell(self, ids: bytes) -> bytes:
+        """The bytes of the pieces of ids, with word marks."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, marks as spaces, the leading mark left out; broken UTF-8 is replaced."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        text = b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace").replace(MARK, " ")
+        text = self.spell(ids).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -176,8 +234,7 @@ def encode_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", n_best: in
             for lo in range(0, len(docs_), 512):
                 rows: list[list] = [[] for _ in names]
                 for doc, text in zip(docs_[lo : lo + 512], texts[lo : lo + 512]):
-                    for rank, (score, ids) in enumerate(lat.encode(text), 1):
-                        same = lat.decode(ids) == (text or "").replace(MARK, " ")
+                    for rank, (score, ids, same) in enumerate(lat.encode(text), 1):
                         for c, v in zip(rows, (doc, rank, score, len(ids) // 4, zlib.crc32(ids), same, np.frombuffer(ids, "<i4") if with_ids else None)):
                             c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
