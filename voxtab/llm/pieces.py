@@ -28,7 +28,7 @@ MARK = "▁"
 #: A chunk: marks, then other characters; or marks at the end.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Chunks that a generation of a worker's memory holds, and the longest that it keeps.
-CACHE_CHUNKS, CACHE_LENGTH = 300_000, 48
+CACHE_CHUNKS, CACHE_LENGTH = 400_000, 48
 
 
 class PieceLattice:
