@@ -129,8 +129,9 @@ GROUPS = "token bigint, key bigint, size int, pos int, lo_key bigint, lo_size in
 def prefix_groups(prefix: DataFrame) -> DataFrame:
     """Rows of GROUPS: tokens of two classes or more, each row with the group's first class (lo) and the one before it (hi).
 
-    The group's own first row has itself as lo and no hi. Rows come sorted, so a
-    task holds one batch, whatever the size of a group.
+    Within a group rows go by position: the first class is the one with the
+    fewest rarer shingles, so the nearest to all others. It has itself as lo and
+    no hi. Rows come sorted, so a task holds one batch, whatever the size of a group.
     """
     names = [f.split()[0] for f in GROUPS.split(", ")]
 
@@ -170,7 +171,7 @@ def prefix_groups(prefix: DataFrame) -> DataFrame:
             yield from out
             last, lead, pending = cols[:, -1].copy(), heads[:, -1].copy(), bool(begins[-1])
 
-    dealt = prefix.repartition("token").sortWithinPartitions("token", "key")
+    dealt = prefix.repartition("token").sortWithinPartitions("token", "pos", "key")
     return dealt.select("token", "key", "size", "pos").mapInArrow(run, GROUPS)
 
 
