@@ -5,8 +5,7 @@ pass gives each position the best score up to it; a backward A* search from the
 end uses these scores as its exact heuristic, so the first n paths that reach the
 start are the n best. No piece of the model holds a word mark after another
 character, so the lattice parts into chunks at the marks. Each chunk's best path
-and the loss of its second best (a backward pass over the same edges) are
-remembered; only the n - 1 chunks of least loss of a text can differ in its n best
+and the loss of its second best are remembered; only the n - 1 chunks of least loss of a text can differ in its n best
 paths, and these alone are searched.
 Scores are the model's own (of a BPE vocabulary: minus the rank of a merge).
 """
@@ -106,43 +105,44 @@ class PieceLattice:
         return out
 
     def best(self, text: str) -> tuple[float, bytes, float]:
-        """(score, ids) of the best path of one chunk, and what the second best scores less."""
+        """(score, ids) of the best path of one chunk, and what the second best scores less (the two best scores of each position)."""
         n, get = len(text), self.edges.get
-        fwd, into = [0.0] + [-1e300] * n, [0] * (n + 1)
-        edges: list[tuple] = []
+        one, two = [0.0] + [-1e300] * n, [-1e300] * (n + 1)
+        into: list = [None] * (n + 1)
         for i in range(n):
-            b, j, single = fwd[i], i + 1, False
-            while j <= n:
-                e = get(text[i:j], 0)
-                if e == 0:
-                    break
-                if e:
-                    if j == i + 1:
-                        single = True
-                    v = b + e[0]
-                    if v > fwd[j]:
-                        fwd[j], into[j] = v, len(edges)
-                    edges.append((i, j, e[0], e[1]))
+            b, j, single = one[i], i, False
+            c = two[i]
+            while j < n:
                 j += 1
+                e = get(text[i:j], 0)
+                if not e:
+                    if e == 0:
+                        break
+                    continue
+                if j == i + 1:
+                    single = True
+                s = e[0]
+                v, old = b + s, one[j]
+                if v > old:
+                    one[j] = v
+                    into[j] = (i, e[1])
+                    u = c + s
+                    two[j] = u if u > old else old
+                elif v > two[j]:
+                    two[j] = v
             if not single:
-                v, j = b + self.rest, i + 1
-                if v > fwd[j]:
-                    fwd[j], into[j] = v, len(edges)
-                edges.append((i, j, self.rest, np.array([self.byte_ids[x] for x in text[i].encode("utf-8", "replace")], "<u4").tobytes()))
+                j, v = i + 1, b + self.rest
+                if v > one[j]:
+                    two[j], one[j] = max(one[j], c + self.rest), v
+                    into[j] = (i, np.array([self.byte_ids[x] for x in text[i].encode("utf-8", "replace")], "<u4").tobytes())
+                elif v > two[j]:
+                    two[j] = v
         path, pos = [], n
         while pos:
-            path.append(into[pos])
-            pos = edges[into[pos]][0]
-        on, second = set(path), -1e300
-        bwd = [-1e300] * n + [0.0]
-        for k in range(len(edges) - 1, -1, -1):
-            i, j, score, _ = edges[k]
-            v = score + bwd[j]
-            if v > bwd[i]:
-                bwd[i] = v
-            if k not in on and v + fwd[i] > second:
-                second = v + fwd[i]
-        return fwd[n], b"".join([edges[k][3] for k in reversed(path)]), fwd[n] - second if second > -1e299 else np.inf
+            pos, ids = into[pos]
+            path.append(ids)
+        path.reverse()
+        return one[n], b"".join(path), one[n] - two[n] if two[n] > -1e299 else np.inf
 
     def chunk(self, text: str) -> tuple[float, bytes, float]:
         """best() of a chunk, remembered for two generations."""
