@@ -2,14 +2,16 @@
 
 1. Lines without blanks around them are hashed; empty ones are left out of a
    document's sequence. Hashes of every k consecutive lines form its grams, and
-   the least of every `window` consecutive grams is a fingerprint, so any shared
-   run of k + window - 1 lines has a fingerprint in both documents.
-2. A fingerprint's occurrences are joined to its first one in (doc_id, position)
-   order: one row per occurrence.
+   the least of every `window` consecutive grams is their fingerprint, so any
+   shared run of k + window - 1 lines has a fingerprint in both documents.
+2. Only windows whose fingerprint came at two places go on. Each is joined to the
+   first place, in (doc_id, position) order, where all its lines stand: one row
+   per window, however many copies there are.
 3. Each pair of documents and offset is compared line by line both ways from the
-   fingerprint; the maximal agreeing runs of at least k lines are repeats.
+   window; the maximal agreeing runs of at least k + window - 1 lines are repeats.
 4. Lines in repeats are deleted, with the empty lines between them; the first
-   occurrence stays.
+   occurrence stays. So a line goes if and only if it lies in a run of
+   k + window - 1 lines that stands further up, or in a document of smaller doc_id.
 """
 
 from __future__ import annotations
@@ -32,14 +34,13 @@ def line_sequences(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(sequences: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
-    """(doc_id, pos, gram): winnowed k-line grams; a document of fewer than `window` grams gives its least one."""
-    last = F.size("hashes") - k
-    gram = lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(k)])
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(gram(i).alias("g"), i.alias("i")))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("grams") - window + 1, F.lit(1)))
-    picked = F.array_distinct(F.transform(starts, lambda j: F.array_min(F.slice("grams", j, F.lit(window)))))
-    out = sequences.where(F.size("hashes") >= k).select("doc_id", grams.alias("grams"))
-    return out.select("doc_id", F.explode(picked).alias("f")).select("doc_id", F.col("f.i").alias("pos"), F.col("f.g").alias("gram"))
+    """(doc_id, pos, gram, at, whole): per window of k + window - 1 lines its fingerprint, the fingerprint's place, and a hash of all its lines."""
+    run = k + window - 1
+    gram = lambda i, n: F.xxhash64(*[F.get("hashes", i + j) for j in range(n)])
+    least = lambda i: F.array_min(F.array(*[F.struct(gram(i + j, k).alias("g"), (i + j).alias("i")) for j in range(window)]))
+    windows = F.transform(F.sequence(F.lit(0), F.size("hashes") - run), lambda i: F.struct(i.alias("pos"), least(i).alias("f"), gram(i, run).alias("whole")))
+    out = sequences.where(F.size("hashes") >= run).select("doc_id", F.explode(windows).alias("w"))
+    return out.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.f.g").alias("gram"), F.col("w.f.i").alias("at"), F.col("w.whole").alias("whole"))
 
 
 def _runs(k: int) -> Column:
@@ -55,19 +56,22 @@ def repeated_runs(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
 
     Earlier means a smaller doc_id, or the same document further up. Only
     documents with repeats have a row. Null texts, null doc_ids, empty texts and
-    texts of fewer than k non-empty lines have none. Of rows that repeat a doc_id
+    texts of fewer non-empty lines than a window have none. Of rows that repeat a doc_id
     one is read; other columns are not read.
     """
     sequences = materialize(line_sequences(docs))
     prints = fingerprints(sequences, k, window)
-    first = prints.groupBy("gram").agg(F.min(F.struct("doc_id", "pos")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    meets = prints.join(first, "gram").where("doc_id <> lead.doc_id or pos <> lead.pos")
+    place = F.struct("doc_id", "at")
+    again = prints.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
+    windows = prints.join(again, "gram", "left_semi").select("doc_id", "pos", "whole")
+    first = windows.groupBy("whole").agg(F.min(F.struct("doc_id", "pos")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    meets = windows.join(first, "whole").where("doc_id <> lead.doc_id or pos <> lead.pos")
     offsets = meets.select("doc_id", F.col("lead.doc_id").alias("src"), (F.col("pos") - F.col("lead.pos")).alias("shift")).distinct()
     source = sequences.select(F.col("doc_id").alias("src"), F.col("hashes").alias("other"))
     both = offsets.join(source, "src").join(sequences, "doc_id")
     low, high = F.greatest("shift", F.lit(0)), F.least(F.size("hashes"), F.size("other") + F.col("shift")) - 1
     along = F.transform(F.sequence(low, high), lambda i: F.get("hashes", i) == F.get("other", i - F.col("shift")))
-    both = both.select("doc_id", "at", low.alias("low"), along.alias("same")).withColumn("run", F.explode(_runs(k)))
+    both = both.select("doc_id", "at", low.alias("low"), along.alias("same")).withColumn("run", F.explode(_runs(k + window - 1)))
     line = lambda end: F.get("at", F.col("low") + F.col(f"run.{end}"))
     return both.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(line("lo").alias("first"), line("hi").alias("last")))).alias("runs"))
 

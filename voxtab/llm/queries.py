@@ -54,7 +54,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_lines(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH l AS (SELECT doc_id, g AS ln, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS g FROM documents WHERE text IS NOT NULL)),
+        s AS (SELECT doc_id, ln, row_number() OVER d AS pos, t AS t0, lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(ln, 2) OVER d AS stop FROM l WHERE t <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
+        w AS (SELECT *, row_number() OVER (PARTITION BY t0, t1, t2 ORDER BY doc_id, pos) AS nth FROM s WHERE t2 IS NOT NULL),
+        k AS (SELECT l.doc_id, l.ln, l.line, w.doc_id IS NOT NULL AS cut FROM l LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(ln, stop + 1)) AS ln FROM w WHERE nth > 1) w USING (doc_id, ln))
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (cut) AS INTEGER) AS n_removed,
+               CAST(length(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT cut), '')) AS INTEGER) AS chars_left,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT cut), '')) AS text_md5
+        FROM k GROUP BY 1
+        UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
         k AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
