@@ -4,8 +4,8 @@ A word's vector is the mean of the vectors of its n-grams and of itself, so an
 unseen misspelling shares most of its vector with the word. A text is read in
 windows of `span` words (half overlapping, all of the text); the window of the
 largest logit speaks for the text, through a logistic scale fitted on further
-labelled rows. The training set is bounded: at most `per_class` labelled rows of
-either class, and as many for the scale, chosen by a hash of the id.
+labelled rows. The training set is bounded: at most 2 * `per_class` labelled rows
+of either class, chosen by a hash of the id; a third of them are kept for the scale.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ BUCKETS = 1 << 17
 SPAN = 64
 #: Texts of fewer words are averaged as if they had so many.
 FEWEST = 16
+#: Weight decay of the embeddings of a step.
+DECAY = 1e-3
+#: Steps of training at least, where the rows are few.
+STEPS = 300
 #: Averages are small; the softmax sees them so many times larger.
 GAIN = 30.0
 
@@ -76,7 +80,8 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
     doc, bucket = np.concatenate(docs), np.concatenate(buckets)
     weight = GAIN * np.concatenate(weights) / np.maximum(sizes, FEWEST)[doc]
     seen = np.bincount(bucket, minlength=BUCKETS)
-    keep = (seen[bucket] >= 4) & (seen[bucket] <= 0.3 * len(texts))  # neither chance nor what all texts hold
+    clean = np.bincount(bucket[labels[order][doc] == 0], minlength=BUCKETS)
+    keep = (seen[bucket] >= 4) & (clean[bucket] <= 0.3 * (labels == 0).sum())  # neither chance nor what all texts hold
     doc, bucket, weight = doc[keep], bucket[keep], weight[keep]
     used, column = np.unique(bucket, return_inverse=True)
     y = labels[order].astype(int)
@@ -84,7 +89,7 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
     out, bias = np.zeros((dim, 2)), np.zeros(2)
     ge, go, gb = np.full(emb.shape, 1e-8), np.full(out.shape, 1e-8), np.full(2, 1e-8)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for _ in range(epochs):
+    for _ in range(max(epochs, STEPS * 64 // max(len(texts), 1))):
         for lo in range(0, len(texts), 64):
             hi = min(lo + 64, len(texts))
             s = slice(first[lo], first[hi])
@@ -97,7 +102,7 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
             p /= hi - lo
             g_out, g_x, g_bias = x.T @ p, p @ out.T, p.sum(0)
             here, at = np.unique(c, return_inverse=True)
-            g_emb = np.stack([np.bincount(at, w * g_x[d, k], minlength=len(here)) for k in range(dim)], 1) + 1e-7 * emb[here]
+            g_emb = np.stack([np.bincount(at, w * g_x[d, k], minlength=len(here)) for k in range(dim)], 1) + DECAY * emb[here]
             for value, grown, g, rows in ((emb, ge, g_emb, here), (out, go, g_out, slice(None)), (bias, gb, g_bias, slice(None))):
                 grown[rows] += g * g
                 value[rows] -= rate * g / np.sqrt(grown[rows])
@@ -145,8 +150,8 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
     return float(ab[0] / sd), float(ab[1] - ab[0] * mid / sd)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, seed: int = 7) -> Model:
-    """Trains on at most per_class labelled rows of either class (and as many for the scale).
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 900, seed: int = 7) -> Model:
+    """Trains on two thirds of at most 2 * per_class labelled rows of either class; the others set the scale.
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1; other rows are left out).
     Only the chosen ids (at most 4 * per_class) are broadcast against the
@@ -162,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, seed: int = 7
     rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
     if rows.empty or rows.toxic.nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0 if rows.empty else (9.0 if rows.toxic[0] == 1 else -9.0))
-    turn = np.random.default_rng(seed).permutation(len(rows)) % 2 == 0
+    turn = np.random.default_rng(seed).permutation(len(rows)) % 3 != 0
     train, scale = rows[turn], rows[~turn]
     value, bias = fit_embeddings(train.text.tolist(), train.toxic.to_numpy())
     z = window_logits(scale.text.tolist(), value, bias)
