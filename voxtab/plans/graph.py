@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     before = None
     for _ in range(max_rounds):
         state = materialize(_small_star(_large_star(state)))
-        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("v")).first())
+        now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
             break
         before = now
