@@ -66,7 +66,7 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
     order = rng.permutation(len(texts))
     docs, buckets, weights, sizes = [], [], [], np.zeros(len(texts))
     shuffled = [texts[i] for i in order]
-    for b in char_blocks(shuffled, digits=True):
+    for b in char_blocks(shuffled, digits=True, block_chars=1 << 17):
         if not len(b.start):
             continue
         word, bucket, weight = _features(b)
@@ -77,13 +77,15 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
         sizes[b.lo : b.hi] = np.diff(b.first)
     if not docs:
         return np.zeros(BUCKETS, np.float32), 0.0
-    doc, bucket = np.concatenate(docs), np.concatenate(buckets)
-    weight = GAIN * np.concatenate(weights) / np.maximum(sizes, FEWEST)[doc]
+    doc, bucket, weight = np.concatenate(docs), np.concatenate(buckets), np.concatenate(weights)
+    docs, buckets, weights = [], [], []
+    weight *= (GAIN / np.maximum(sizes, FEWEST)).astype(np.float32)[doc]
     seen = np.bincount(bucket, minlength=BUCKETS)
     clean = np.bincount(bucket[labels[order][doc] == 0], minlength=BUCKETS)
     keep = (seen[bucket] >= 4) & (clean[bucket] <= 0.3 * (labels == 0).sum())  # neither chance nor what all texts hold
     doc, bucket, weight = doc[keep], bucket[keep], weight[keep]
-    used, column = np.unique(bucket, return_inverse=True)
+    used = np.unique(bucket)
+    column = np.searchsorted(used, bucket).astype(np.int32)
     y = labels[order].astype(int)
     emb = rng.normal(0, 1 / dim, (len(used), dim))
     out, bias = np.zeros((dim, 2)), np.zeros(2)
@@ -114,7 +116,7 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
 def window_logits(texts: list[str | None], value: np.ndarray, bias: float, span: int = SPAN) -> np.ndarray:
     """The largest window logit of each text; the bias for a text without words."""
     out = np.full(len(texts), bias)
-    for b in char_blocks(texts, digits=True):
+    for b in char_blocks(texts, digits=True, block_chars=1 << 18):
         n = len(b.start)
         if not n:
             continue
@@ -150,7 +152,7 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
     return float(ab[0] / sd), float(ab[1] - ab[0] * mid / sd)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 900, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, seed: int = 7) -> Model:
     """Trains on two thirds of at most 2 * per_class labelled rows of either class; the others set the scale.
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1; other rows are left out).
