@@ -26,8 +26,11 @@ from voxtab.llm.wordbpe import vocabulary_path
 MARK = "▁"
 #: A chunk: marks, then other characters; or marks at the end.
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+#: The same, parted between a Latin letter and a full stop or comma too, where no piece of the model holds these two in a row.
+FINE = re.compile(f"{MARK}*[^{MARK}]*?[A-Za-zÀ-ÖØ-öø-ɏ](?=[.,])|{MARK}*[^{MARK}]+|{MARK}+$")
+INSIDE = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][.,]")
 #: Chunks that a generation of a worker's memory holds, and the longest that it keeps.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 48
+CACHE_CHUNKS, CACHE_LENGTH = 500_000, 48
 
 
 class PieceLattice:
@@ -61,6 +64,7 @@ class PieceLattice:
         for piece in list(self.edges):
             for j in range(1, len(piece)):
                 self.edges.setdefault(piece[:j], None)
+        self.split = (CHUNK if any(INSIDE.search(p) for p in self.edges) else FINE).findall
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.beside: dict[str, list] = {}
@@ -174,7 +178,7 @@ class PieceLattice:
         if not text:
             return [(0.0, b"", True)]
         whole = MARK + text.replace(" ", MARK)
-        chunks = CHUNK.findall(whole)
+        chunks = self.split(whole)
         get, chunk = self.young.get, self.chunk
         scores, ids, losses = zip(*[get(c) or chunk(c) for c in chunks])
         base, joined = sum(scores), b"".join(ids)
