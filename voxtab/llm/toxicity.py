@@ -116,7 +116,7 @@ def fit_embeddings(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: i
 def window_logits(texts: list[str | None], value: np.ndarray, bias: float, span: int = SPAN) -> np.ndarray:
     """The largest window logit of each text; the bias for a text without words."""
     out = np.full(len(texts), bias)
-    for b in char_blocks(texts, digits=True, block_chars=1 << 18):
+    for b in char_blocks(texts, digits=True, block_chars=1 << 16):
         n = len(b.start)
         if not n:
             continue
