@@ -90,3 +90,13 @@ def knn_cosine(train: DataFrame, queries: DataFrame, k: int, power: int) -> Data
     votes = near.groupBy("vec_id", "truth", "label").agg(F.sum(F.pow("sim", F.lit(power))).alias("w"))
     best = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc(F.round("w", 9)), "label"))
     return votes.withColumn("r", best).where("r = 1").select("vec_id", "truth", F.col("label").alias("pred"), "w")
+
+
+def soft_label_copies(rows: DataFrame, neighbours: DataFrame, label: str, weight: float) -> DataFrame:
+    """rows with a column weight 1, and a copy of weight `weight` under each neighbour of its label.
+
+    neighbours: (a, b) pairs of classes, a row per direction, as many as the
+    taxonomy has; a label without neighbours, null included, has no copies.
+    """
+    copies = rows.join(neighbours, rows[label] == neighbours["a"]).withColumn(label, F.col("b")).drop("a", "b")
+    return rows.withColumn("weight", F.lit(1.0)).unionByName(copies.withColumn("weight", F.lit(weight)))

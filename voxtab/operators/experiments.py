@@ -68,3 +68,23 @@ def rank_sum_auc(x: DataFrame, by: str, positive: Column) -> DataFrame:
     g = g.withColumn("below", below)
     out = g.groupBy(by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(by, (F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def null_splits(hits: DataFrame, by: str, unit: list[str], seeds: int) -> DataFrame:
+    """(by, half, wins, losses, z): the sign test between halves of one run's own seeds, for every split both ways.
+
+    hits: by, unit columns, seed (0 .. seeds - 1), hits. `half` has the bit of each
+    seed on the candidate's side; both sides have seeds // 2 seeds at least, and
+    units compare by mean hits per seed. z is the sign test's normal score with
+    continuity correction, null without any unequal unit. Units are gathered once,
+    and splits are counted on the map side.
+    """
+    halves = [m for m in range(1 << seeds) if seeds // 2 <= m.bit_count() <= seeds - seeds // 2]
+    total = hits.groupBy(by, *unit).agg(*[F.sum(F.when(F.col("seed") == s, F.col("hits")).otherwise(0)).alias(f"_{s}") for s in range(seeds)])
+    side = lambda m: sum((F.col(f"_{s}") for s in range(seeds) if m >> s & 1), F.lit(0))
+    # Means compare as sums times the other side's seeds, in whole numbers.
+    lead = [F.struct(F.lit(m).alias("half"), F.signum(side(m) * (seeds - m.bit_count()) - side(~m & (1 << seeds) - 1) * m.bit_count()).alias("s")) for m in halves]
+    each = total.select(by, F.explode(F.array(*lead)).alias("x")).select(by, "x.half", "x.s")
+    c = each.groupBy(by, "half").agg(F.count_if(F.col("s") > 0).alias("wins"), F.count_if(F.col("s") < 0).alias("losses"))
+    n = F.col("wins") + F.col("losses")
+    return c.withColumn("z", F.when(n > 0, (F.col("wins") - n / 2 - 0.5) / (F.sqrt(n) / 2)))

@@ -323,3 +323,11 @@ def landmark_pos(spark, sf_dir):
     from voxtab.operators.junctions import landmark_frame
 
     return rounded(landmark_frame(nodes(spark, sf_dir)))
+
+
+@query("SELECT vec_id, CAST(label AS INT) AS label, 1.0::DOUBLE AS weight FROM embeddings UNION ALL SELECT vec_id, CAST(label + d AS INT), 0.1::DOUBLE FROM embeddings, (VALUES (-2), (2)) t(d) WHERE label BETWEEN 0 AND 7 AND label + d BETWEEN 0 AND 7")
+def soft_label_copies(spark, sf_dir):
+    """Neighbours are the segments before and after on the same side."""
+    near = spark.createDataFrame([(c, c + d) for c in range(8) for d in (-2, 2) if 0 <= c + d < 8], "a int, b int")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
+    return K.soft_label_copies(rows, near, "label", 0.1)

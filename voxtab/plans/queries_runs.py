@@ -191,3 +191,14 @@ def class_hops(spark, sf_dir):
         step = step.join(F.broadcast(edges), "b").select("a", F.col("to").alias("b"), (F.col("n") + 1).alias("n")).distinct()
         reach = reach.unionByName(step)
     return reach.groupBy("a", "b").agg(F.min("n").alias("hops"))
+
+
+HALVES = "SELECT m::INT AS half, bit_count(m::INT)::INT AS k FROM range(1, 32) t(m) WHERE bit_count(m::INT) IN (2, 3)"
+SIDES = "SELECT tag, half, sign(coalesce(sum(tp) FILTER ((half >> seed) & 1 = 1), 0) * (5 - k) - coalesce(sum(tp) FILTER ((half >> seed) & 1 = 0), 0) * k) AS s FROM runs, halves GROUP BY tag, half, k, case_id, cls"
+SPLITS = "SELECT tag, half, count(*) FILTER (s > 0) AS wins, count(*) FILTER (s < 0) AS losses FROM sides GROUP BY 1, 2"
+
+
+@query(rsql("SELECT tag, half, wins, losses, CASE WHEN wins + losses > 0 THEN round((wins - (wins + losses) / 2.0 - 0.5) / (sqrt(wins + losses) / 2), 6) END AS z FROM splits", halves=HALVES, sides=SIDES, splits=SPLITS))
+def sign_test_null(spark, sf_dir):
+    hits = runs(spark, sf_dir).withColumnRenamed("tp", "hits")
+    return rounded(E.null_splits(hits, "tag", ["case_id", "cls"], 5))
