@@ -129,3 +129,33 @@ def test_lines_of_odd_rows(docs, odd):
     got = {(x.doc_id, x.text): (x.n_lines, x.n_removed) for x in out.collect()}
     assert got[(1, None)] == (0, 0) and got[(2, "")] == (1, 0) and out.count() == len(odd)
     assert without_repeated_lines(docs([])).count() == 0
+
+
+def test_passages_around_unrelated_words(docs):
+    r = random.Random(11)
+    for gap in (50, 150, 300):
+        p, q = text_of(r, 60), text_of(r, 60)
+        rows = [(1, f"{text_of(r, 40)} {p} {text_of(r, gap)} {q} {text_of(r, 40)}"), (2, f"{text_of(r, 30)} {p} {text_of(r, gap)} {q} {text_of(r, 30)}")]
+        got = sorted((x.start_word, x.end_word, x.src_start_word, x.src_end_word) for x in repeated_passages(docs(rows)).collect())
+        assert got == [(30, 90, 40, 100), (90 + gap, 150 + gap, 100 + gap, 160 + gap)]
+
+
+def test_stray_phrase_beside_a_passage(docs):
+    r = random.Random(12)
+    p, stray = text_of(r, 60), text_of(r, 30)
+    rows = [(1, f"{p} {text_of(r, 80)} {stray}"), (2, f"{p} {text_of(r, 80)} {stray}")]
+    assert [(x.start_word, x.end_word) for x in repeated_passages(docs(rows)).collect()] == [(0, 60)]
+
+
+def test_passages_twice_in_one_document(docs):
+    r = random.Random(13)
+    p, q = text_of(r, 60), text_of(r, 60)
+    got = sorted((x.start_word, x.end_word, x.src_start_word) for x in repeated_passages(docs([(1, f"{p} {p} {q} {q}"), (2, f"{p} {text_of(r, 20)} {p}")])).collect() if x.doc_id == x.src_doc_id == 1)
+    assert got == [(60, 120, 0), (180, 240, 120)]
+
+
+def test_parts_of_a_passage_agree_in_all(docs):
+    r = random.Random(14)
+    p, q = text_of(r, 40), text_of(r, 40)
+    rows = [(k, f"{text_of(r, 30)} {p} {text_of(r, 15)} {q} {text_of(r, 30)}") for k in (1, 2)]
+    assert [(x.start_word, x.end_word) for x in repeated_passages(docs(rows)).collect()] == [(30, 125)]
