@@ -159,3 +159,11 @@ def test_parts_of_a_passage_agree_in_all(docs):
     p, q = text_of(r, 40), text_of(r, 40)
     rows = [(k, f"{text_of(r, 30)} {p} {text_of(r, 15)} {q} {text_of(r, 30)}") for k in (1, 2)]
     assert [(x.start_word, x.end_word) for x in repeated_passages(docs(rows)).collect()] == [(30, 125)]
+
+
+def test_whole_passage_whose_halves_came_before(docs):
+    r = random.Random(15)
+    p, q = text_of(r, 40), text_of(r, 40)
+    parts = {1: p, 2: q, 3: f"{p} {q}", 9: f"{p} {q}"}
+    got = repeated_passages(docs([(k, f"{text_of(r, 30)} {t} {text_of(r, 30)}") for k, t in parts.items()])).collect()
+    assert [(x.doc_id, x.src_doc_id, x.start_word, x.end_word) for x in got] == [(9, 3, 30, 110)]
