@@ -233,3 +233,8 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert nearest(odd, F.col("vec_id") % 100 == 0).count() == 0
     few = nearest(v.limit(4).withColumn("vec_id", F.monotonically_increasing_id() % 4 * 50 + 100), F.col("vec_id") % 100 == 0)
     assert few.count() > 0
+
+
+def test_cutoffs_of_two_thousand_good_labels(spark):
+    base = spark.range(2000).selectExpr("'en' AS stratum", "true AS good", "100 AS n_words", "500 AS word_chars", "1 AS n_symbols", "0 AS n_dup_lines", "0 AS n_repeat_words", "1 AS n_lines", "0 AS n_upper", "1 AS n_letters", "0 AS n_marks")
+    assert {r for _, r, _ in quality.choose_cutoffs(base)} == set(quality.rules())

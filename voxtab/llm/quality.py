@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
 Every text gets statistics; each rule rejects texts whose statistic exceeds a
-cutoff. Cutoffs are chosen per stratum from labelled rows: for every candidate of
-a fixed list, the exact (Clopper-Pearson) upper bound on the share of good texts
-it rejects must stay within the rule's part of `risk`, at a confidence divided by
-the number of rules, strata and candidates (Bonferroni). The lowest such cutoff
-is taken; a stratum with too few good labels gets none. So with probability
+cutoff. Cutoffs are chosen per stratum from labelled rows: the candidates of a
+fixed list are tested from the loosest on, until one fails. The exact
+(Clopper-Pearson) upper bound on the share of good texts a candidate rejects must
+stay within the rule's part of `risk`, at a confidence divided by the number of
+rules and strata (Bonferroni; tests in a fixed order need no more). The last that
+passed is taken; a stratum with too few good labels gets none. So with probability
 1 - `delta`, no stratum loses more than `risk` of its good texts.
 """
 
@@ -122,7 +123,7 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05)
     bins = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c, s=stat: c < s)).alias("bin")) for r, (stat, cuts) in table.items()]
     rows = labelled.where("good").select("stratum", F.explode(F.array(*bins)).alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n")).collect()
     strata = sorted({r["stratum"] for r in rows})
-    tests = max(1, len(strata) * sum(len(c) for _, c in table.values()))
+    tests = max(1, len(strata) * len(table))
     out = []
     for s in strata:
         for rule, (_, cuts) in table.items():
@@ -132,10 +133,13 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05)
                     over[r["bin"]] += r["n"]
             n = int(over.sum())
             rejected = n - np.cumsum(over)[:-1]  # of cutoff i: rows above it
-            for cut, k in zip(cuts, rejected.tolist()):
-                if k <= n * risk / len(table) and upper_bound(int(k), n, delta / tests) <= risk / len(table):
-                    out.append((s, rule, cut))
+            lowest = None
+            for cut, k in zip(cuts[::-1], rejected.tolist()[::-1]):
+                if k > n * risk / len(table) or upper_bound(int(k), n, delta / tests) > risk / len(table):
                     break
+                lowest = cut
+            if lowest is not None:
+                out.append((s, rule, lowest))
     return out
 
 
