@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+from voxtab.llm import jaccard
 from voxtab.llm.jaccard import jaccard_components
 from voxtab.llm.linededup import without_repeated_lines
 from voxtab.llm.substring import chain, repeated_passages, without_passages
+from voxtab.plans import leaders
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,8 +56,23 @@ def test_components_match_brute_force(docs):
         assert got == brute_components(rows, n, percent)
 
 
+def test_components_of_split_groups(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPLIT", 2)
+    monkeypatch.setattr(leaders, "HOT", 8)
+    rows = near_copies(9, groups=4, members=20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows), 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_components_of_rows_of_one_id(docs):
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, text + " eight"), (2, text.upper()), (2, "nothing in common with it at all here"), (None, text)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.leads) for r in jaccard_components(docs(rows), 4, 80).collect())
+    assert got == [(0, 4, 0, True), (1, 4, 1, True), (2, 4, 1, False), (2, 5, 1, False), (2, 5, 2, True)]
+
+
 def test_components_of_odd_rows(docs, odd):
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs(odd)).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs(odd)).collect() if r.doc_id is not None)
     assert [x for x in got if x[0] != 6] == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5)]
     assert jaccard_components(docs([])).count() == 0
     assert jaccard_components(docs([(1, None)])).first().component_id == 1

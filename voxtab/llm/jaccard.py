@@ -10,8 +10,8 @@
    class is held against the leader that it shares most tokens with, then against
    all leaders of its prefix groups, then against the class before it in each, and
    only pairs that are still in different components are compared in the last
-   round. Pairs within a component cannot change the components, so no link that
-   matters is lost, and no cap is needed.
+   round, large groups in pairs of blocks. Pairs within a component cannot change
+   the components, so no link that matters is lost, and no cap is needed.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from voxtab.llm.bitmap import bit_of, id_bitmap
 from voxtab.llm.words import U, same_bits, set_keys, shingle_sets, word_blocks
 from voxtab.plans.graph import connected_components
+from voxtab.plans.leaders import with_leaders
 from voxtab.plans.lineage import materialize
 
 COUNTERS = 1 << 20
 PART = 1 << 12
 PARITY_WORDS = 8
+#: Rows of a block of a group whose pairs are compared.
+SPLIT = 2048
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -49,28 +52,28 @@ def _parities(first: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: one row per document (doc_id, size, key, parity); kind 1: blocks of shingle counters of a task."""
-    schema = "kind int, doc_id bigint, size int, key bigint, parity array<bigint>, block int, counts binary"
+    """kind 0: one row per row of docs (doc_id, version, size, key, parity); kind 1: blocks of shingle counters of a task."""
+    schema = "kind int, doc_id bigint, version int, size int, key bigint, parity array<bigint>, block int, counts binary"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            ids, col = b.column(0), b.column(1)
+            ids, versions, col = b.columns
             for w in word_blocks(col):
                 first, h = shingle_sets(w, n)
                 counters += np.bincount(_bucket(h), minlength=COUNTERS).astype(np.uint32)
                 m = w.hi - w.lo
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * PARITY_WORDS), pa.array(_parities(first, h)))
-                cols = [pa.array(np.zeros(m, np.int32)), ids.slice(w.lo, m), pa.array(np.diff(first).astype(np.int32)), pa.array(same_bits(set_keys(first, h))), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+                cols = [pa.array(np.zeros(m, np.int32)), ids.slice(w.lo, m), versions.slice(w.lo, m), pa.array(np.diff(first).astype(np.int32)), pa.array(same_bits(set_keys(first, h))), lists, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         used = [k for k in range(COUNTERS // PART) if counters[k * PART : (k + 1) * PART].any()]
         blocks = [zlib.compress(counters[k * PART : (k + 1) * PART].tobytes(), 1) for k in used]
         m = len(used)
-        cols = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())]
+        cols = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array(blocks, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "version", "text").mapInArrow(run, schema)
 
 
 def shingle_counters(signs: DataFrame) -> np.ndarray:
@@ -197,27 +200,58 @@ def _bounded(a: str, b: str, percent: int):
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (rest * (100 + percent) >= (na + nb) * percent)
 
 
+def _split_groups(rows: DataFrame) -> DataFrame:
+    """rows (token, key, ...) with `part`: the pairs of blocks of their group that a row belongs to, one pair if the group is small.
+
+    The blocks of a group are dealt by key and hold SPLIT rows or so each. A row of
+    block i goes to the pairs {i, j} of all blocks j, so any two rows of a group
+    meet in one pair of blocks (if their blocks differ) or in the pair {i, i}.
+    """
+    size = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    size = materialize(size.withColumn("many", (F.col("n") / SPLIT).cast("int") + 1))
+    large = with_leaders(rows.withColumn("_token", F.col("token")), size.withColumnRenamed("token", "_token"), "_token").withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("many")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("inner", F.col("own") == F.col("other"))
+    large = large.withColumn("part", F.least("own", "other") * F.col("many") + F.greatest("own", "other"))
+    small = rows.join(size, "token", "left_anti").select("*", F.lit(0).alias("own"), F.lit(True).alias("inner"), F.lit(0).alias("part"))
+    return small.unionByName(large.drop("many", "other"))
+
+
+def _united(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(key, comp) of all keys with links, after the links (a, b, a_comp, b_comp) that were found between components."""
+    joined = connected_components(found, "a_comp", "b_comp")
+    if comp is None:
+        return joined.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    moved = comp.join(joined, comp["comp"] == joined["node"], "left").select("key", F.coalesce("component", "comp").alias("comp"))
+    fresh = joined.join(comp.select(F.col("key").alias("node")), "node", "left_anti").select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    return moved.unionByName(fresh)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+    """(doc_id, version, n_shingles, component_id, leads) of every row of docs (doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their
     sets of n-word shingles (lower-cased A-Z; a text of fewer words is one
-    shingle). component_id is the smallest doc_id reachable by links. Null texts
-    and texts without words have empty sets and link with nothing. Repeated rows
-    are kept; documents with a null doc_id are left out; other columns are not
-    read. Shingles are compared by 64-bit hashes.
+    shingle). component_id is the smallest doc_id reachable by links; leads says
+    that the row has the least (doc_id, version) of its component, version being a
+    hash of its text. Null texts and texts without words have empty sets and link
+    with nothing. Repeated rows are kept; rows of one doc_id with different texts
+    are documents of their own; rows with a null doc_id are not compared and have a
+    null component_id. Other columns are not read. Shingles are compared by 64-bit
+    hashes.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    docs = docs.select("doc_id", F.hash("text").alias("version"), "text")
     signs = materialize(signatures(docs, n))
-    sig = signs.where("kind = 0").select("doc_id", "size", "key", "parity")
-    classes = sig.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    # Every row of a class has the same parity; those of its representative stand for it.
-    about = materialize(sig.join(classes, ["doc_id", "key"]).dropDuplicates(["key"]))
+    docs = docs.where("doc_id is not null")
+    sig = signs.where("kind = 0").select("doc_id", "version", "size", "key", "parity")
+    # Every row of a class has the same set; the first stands for it.
+    able = (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    alike = sig.where(able).groupBy("key").agg(F.min(F.struct("doc_id", "version", "size", "parity")).alias("r"), F.count("*").alias("n"))
+    about = materialize(alike.select("key", "r.*", "n"))
 
     prefix = prefixes(docs, n, percent, shingle_counters(signs))
     groups = materialize(prefix_groups(prefix))
 
-    links = tried = comp = None
+    tried = comp = None
     for leader in ("best", "lo", "hi", None):
         rows = groups
         if comp is not None:
@@ -238,11 +272,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             pairs = pairs.select(F.least("key", f"{end}_key").alias("a"), F.greatest("key", f"{end}_key").alias("b"))
         else:
             rows = rows.select("token", "key", "size", "pos", "comp").join(about.select("key", "parity"), "key")
-            rows = materialize(rows)
-            left, right = (rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "size", "pos", "comp", "parity")]) for x in "ab")
-            meet = (left["token"] == right["token"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_comp") != F.col("b_comp"))
+            rows = materialize(_split_groups(materialize(rows)))
+            left, right = (rows.select("token", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("own", "inner", "key", "size", "pos", "comp", "parity")]) for x in "ab")
+            meet = (left["token"] == right["token"]) & (left["part"] == right["part"]) & (F.col("a_comp") != F.col("b_comp"))
+            # Rows of one block meet in the pair of their block with itself only.
+            meet &= (F.col("a_own") < F.col("b_own")) | ((F.col("a_own") == F.col("b_own")) & F.col("a_inner") & (F.col("a_key") < F.col("b_key")))
             meet &= _bounded("a_", "b_", percent) & _near("a_parity", "b_parity", "a_size", "b_size", percent)
-            pairs = left.join(right, meet).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+            pairs = left.join(right, meet).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -250,18 +286,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_verified(pairs, docs, about, n, percent))
-        links = found if links is None else links.unionByName(found)
-        comp = materialize(connected_components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("comp")))
-
-    if comp is None:
-        whole = classes.withColumn("comp", F.col("key"))
-    else:
-        whole = classes.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    lowest = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    component = whole.join(lowest, "comp").select("key", "component_id")
-    out = sig.withColumn("key", F.when(F.col("size") > 0, F.col("key"))).join(component, "key", "left")
-    return out.select("doc_id", F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        found = _verified(pairs, docs, about, n, percent)
+        for x in "ab":
+            found = found.withColumn(f"{x}_comp", F.col(x)) if comp is None else found.join(comp.select(F.col("key").alias(x), F.col("comp").alias("c")), x, "left").withColumn(f"{x}_comp", F.coalesce("c", x)).drop("c")
+        comp = materialize(_united(comp, found))
+
+    whole = about.select("key", "doc_id", "version", "n")
+    whole = whole.withColumn("comp", F.col("key")) if comp is None else whole.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = whole.groupBy("comp").agg(F.min(F.struct("doc_id", "version")).alias("least"))
+    component = materialize(whole.join(least, "comp").select("key", "least", "n"))
+    out = with_leaders(sig.where(able).select("doc_id", "version", "size", "key"), component, "key")
+    rest = sig.where(~able | F.col("doc_id").isNull()).select("doc_id", "version", "size", F.struct("doc_id", "version").alias("least"))
+    out, leads = out.unionByName(rest), F.col("doc_id").isNull() | (F.col("least") == F.struct("doc_id", "version"))
+    return out.select("doc_id", "version", F.col("size").cast("bigint").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), leads.alias("leads"))
 
 
 def _near(pa_: str, pb: str, na: str, nb: str, percent: int):
