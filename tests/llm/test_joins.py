@@ -119,26 +119,58 @@ def test_chain_follows_both_orders():
     assert best.tolist() == [0, 1, 3, 4]
 
 
-def test_line_runs_match_brute_force(docs):
+def brute_lines(rows, min_chars=40):
+    """Per row, the text without repeated lines, the number of lines and of those that went."""
+    out, seen, done = {}, set(), {}
+    for i, text in sorted((r for r in rows if None not in r), key=lambda r: r[0]):
+        if (i, text) in out:
+            continue
+        lines = text.split("\n")
+        seq = [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate(lines)]
+        seq = [x for x in seq if x[1]]
+        cut = set()
+        for at, (k, a) in enumerate(seq):
+            if len(a) >= min_chars:
+                cut |= {k} if a in seen else set()
+                seen.add(a)
+            if at + 2 < len(seq):
+                run = tuple(x for _, x in seq[at : at + 3])
+                cut |= set(range(k, seq[at + 2][0] + 1)) if run in seen else set()
+                seen.add(run)
+        out[i, text] = ("\n".join(x for k, x in enumerate(lines) if k not in cut), len(lines), len(cut))
+    return out
+
+
+def test_line_runs_match_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(leaders, "HOT", 16)
     r, rows = random.Random(5), []
-    pool = [f"line {k} of the pool" for k in range(40)]
-    for i in range(60):
+    pool = [f"line {k} of the pool" for k in range(40)] + ["menu", "home", "a long line of more than forty characters, told again"]
+    for i in range(80):
         lines = [r.choice(pool) if r.random() < 0.7 else f"own {i} {k}" for k in range(r.randint(0, 9))]
         if r.random() < 0.5:
             lines[2:2] = pool[:4]
         rows.append((i, "\n".join(x + r.choice(["", " ", "\n"]) for x in lines)))
-    out = {x.doc_id: x for x in without_repeated_lines(docs(rows)).collect()}
-    seen = set()
-    for i, text in rows:
-        lines = text.split("\n")
-        seq = [(k, x.strip()) for k, x in enumerate(lines) if x.strip()]
-        cut = set()
-        for (k, a), (_, b), (q, c) in zip(seq, seq[1:], seq[2:]):
-            if (a, b, c) in seen:
-                cut |= set(range(k, q + 1))
-            seen.add((a, b, c))
-        assert out[i].text == "\n".join(x for k, x in enumerate(lines) if k not in cut)
-        assert (out[i].n_lines, out[i].n_removed) == (len(lines), len(cut))
+    want = brute_lines(rows)
+    for x in without_repeated_lines(docs(rows)).collect():
+        assert (x.text, x.n_lines, x.n_removed) == want[x.doc_id, rows[x.doc_id][1]]
+        assert sum(g["last"] - g["first"] + 1 for g in x.removed or []) == x.n_removed
+
+
+def test_lines_of_rows_of_one_id(docs):
+    rows = [(1, "keep1\nkeep2\nkeep3"), (2, "x1\nx2\nx3"), (2, "keep1\nkeep2\nkeep3"), (2, "keep1\nkeep2\nkeep3"), (None, "keep1\nkeep2\nkeep3")]
+    got = sorted((x.doc_id or 0, x.text, x.n_removed) for x in without_repeated_lines(docs(rows)).collect())
+    assert got == [(0, rows[0][1], 0), (1, rows[0][1], 0), (2, "", 3), (2, "", 3), (2, "x1\nx2\nx3", 0)]
+
+
+def test_many_equal_lines(docs):
+    import time
+
+    for line in ("equal", "a line of forty characters or more, repeated"):
+        rows = [(1, "\n".join([line] * 100_000))]
+        began = time.time()
+        got = without_repeated_lines(docs(rows)).first()
+        assert got.n_removed == 99_999
+        assert time.time() - began < 60
 
 
 def test_lines_of_odd_rows(docs, odd):

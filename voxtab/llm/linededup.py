@@ -1,17 +1,20 @@
-"""Repeated runs of lines, by winnowing over line hashes. DataFrame functions only.
+"""Repeated lines and runs of lines, by winnowing over line hashes. DataFrame functions only.
 
 1. Lines without blanks around them are hashed; empty ones are left out of a
-   document's sequence. Hashes of every k consecutive lines form its grams, and
-   the least of every `window` consecutive grams is their fingerprint, so any
-   shared run of k + window - 1 lines has a fingerprint in both documents.
-2. Only windows whose fingerprint came at two places go on. Each is joined to the
-   first place, in (doc_id, position) order, where all its lines stand: one row
-   per window, however many copies there are.
-3. Each pair of documents and offset is compared line by line both ways from the
-   window; the maximal agreeing runs of at least k + window - 1 lines are repeats.
-4. Lines in repeats are deleted, with the empty lines between them; the first
-   occurrence stays. So a line goes if and only if it lies in a run of
-   k + window - 1 lines that stands further up, or in a document of smaller doc_id.
+   document's sequence. Hashes of every two consecutive lines are its grams. The
+   lesser of every two consecutive grams is a fingerprint, so any three lines that
+   two documents share give the same fingerprint in both. A line of `min_chars`
+   characters or more is a window, and a fingerprint, of its own.
+2. Fingerprints are joined by position to the first place where they stand; those
+   that stand once only go no further, and their lines are looked at no more.
+3. A fingerprint of two lines that came elsewhere is extended both ways, to the
+   windows of three lines that chose it. Their hashes are joined to their first
+   places in turn, so a run is found although its lines came before it one by one.
+4. Long lines and windows that came before are deleted, with the empty lines inside
+   a window; their first occurrence stays. So a line goes if and only if it is long
+   and stands further up or in an earlier document, or lies in three lines that do.
+   Runs of any length are the unions of their windows, at a cost that grows with
+   the number of lines alone.
 """
 
 from __future__ import annotations
@@ -19,77 +22,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtab.plans.leaders import with_leaders
 from voxtab.plans.lineage import materialize
 
 #: White space that does not count at the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, hashes): the non-empty lines of each document, their numbers and hashes."""
+def line_sequences(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+    """(doc_id, version, at, hashes, long): numbers, hashes and greater lengths of the non-empty lines of each document.
+
+    version is a hash of the text; rows that agree in doc_id and version are one document.
+    """
     stripped = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
-    kept = F.filter(F.transform(stripped, lambda x, i: F.struct(i.alias("i"), (F.length(x) > 0).alias("ok"), F.xxhash64(x).alias("h"))), lambda x: x["ok"])
-    lines = docs.where("text is not null and doc_id is not null").select("doc_id", kept.alias("l"))
-    return lines.select("doc_id", F.col("l.i").alias("at"), F.col("l.h").alias("hashes")).dropDuplicates(["doc_id"])
+    line = lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.xxhash64(x).alias("h"))
+    lines = docs.where("text is not null and doc_id is not null").select("doc_id", F.hash("text").alias("version"), F.filter(F.transform(stripped, line), lambda x: x["n"] > 0).alias("l"))
+    long = F.transform("l.n", lambda n: n >= min_chars)
+    return lines.select("doc_id", "version", F.col("l.i").alias("at"), F.col("l.h").alias("hashes"), long.alias("long")).dropDuplicates(["doc_id", "version"])
+
 
+def fingerprints(sequences: DataFrame) -> DataFrame:
+    """(doc_id, version, first, last, print, windows): fingerprints with their lines, and the windows (first, last, whole) that chose each.
 
-def fingerprints(sequences: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
-    """(doc_id, pos, gram, at, whole): per window of k + window - 1 lines its fingerprint, the fingerprint's place, and a hash of all its lines."""
-    run = k + window - 1
-    gram = lambda i, n: F.xxhash64(*[F.get("hashes", i + j) for j in range(n)])
-    least = lambda i: F.array_min(F.array(*[F.struct(gram(i + j, k).alias("g"), (i + j).alias("i")) for j in range(window)]))
-    windows = F.transform(F.sequence(F.lit(0), F.size("hashes") - run), lambda i: F.struct(i.alias("pos"), least(i).alias("f"), gram(i, run).alias("whole")))
-    out = sequences.where(F.size("hashes") >= run).select("doc_id", F.explode(windows).alias("w"))
-    return out.select("doc_id", F.col("w.pos").alias("pos"), F.col("w.f.g").alias("gram"), F.col("w.f.i").alias("at"), F.col("w.whole").alias("whole"))
+    A long line has no windows: it is one itself.
+    """
+    h, at = (lambda i: F.get("hashes", i)), (lambda i: F.get("at", i))
+    gram = lambda i: F.xxhash64(h(i), h(i + 1))
+    # Window i holds the lines i to i+2 and the grams i and i+1; the first of equal grams is its least.
+    has = lambda i: (i >= 0) & (i + 2 < F.size("hashes"))
+    window = lambda i, chosen: F.when(has(i) & chosen, F.struct(at(i).alias("first"), at(i + 2).alias("last"), F.xxhash64(h(i), h(i + 1), h(i + 2)).alias("whole")))
+    chose = lambda i: F.array_compact(F.array(window(i - 1, gram(i) < gram(i - 1)), window(i, gram(i) <= gram(i + 1))))
+    none = F.array().cast("array<struct<first:int,last:int,whole:bigint>>")
+    runs = F.transform(F.sequence(F.lit(0), F.size("hashes") - 2), lambda i: F.struct(at(i).alias("first"), at(i + 1).alias("last"), gram(i).alias("print"), chose(i).alias("windows")))
+    runs = F.when(F.size("hashes") >= 3, F.filter(runs, lambda x: F.size(x["windows"]) > 0))
+    alone = F.transform("hashes", lambda x, i: F.when(F.get("long", i), F.struct(at(i).alias("first"), at(i).alias("last"), F.xxhash64(x, F.lit(1)).alias("print"), none.alias("windows"))))
+    out = sequences.select("doc_id", "version", F.explode(F.concat(F.array_compact(alone), F.coalesce(runs, F.array().cast("array<struct<first:int,last:int,print:bigint,windows:array<struct<first:int,last:int,whole:bigint>>>>")))).alias("x"))
+    return out.select("doc_id", "version", "x.*")
+
+
+def _later(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (doc_id, version, first, key) that are not the first with their key, in that order."""
+    place = F.struct("doc_id", "version", "first")
+    leaders = materialize(rows.groupBy(key).agg(F.min(place).alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    return with_leaders(rows, leaders, key).withColumn("again", place != F.col("lead")).drop("lead")
+
+
+def repeated_ranges(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+    """(doc_id, version, first, last): line ranges that repeat an earlier occurrence, single long lines and windows of three lines.
+
+    Earlier means a smaller (doc_id, version), or the same document further up.
+    Null texts, null doc_ids and texts without lines have none. Other columns are
+    not read.
+    """
+    found = materialize(_later(materialize(fingerprints(line_sequences(docs, min_chars))), "print"))
+    lines = found.where("again and size(windows) = 0").select("doc_id", "version", "first", "last")
+    windows = found.select("doc_id", "version", F.explode("windows").alias("w")).select("doc_id", "version", "w.*")
+    return lines.unionByName(_later(materialize(windows), "whole").where("again").select("doc_id", "version", "first", "last"))
 
 
-def _runs(k: int) -> Column:
-    """Maximal runs of true in the array `same` of at least k values, as (lo, hi) positions."""
-    edge = lambda step: F.filter(
-        F.transform("same", lambda x, i: F.when(x & ~F.coalesce(F.get("same", i + step), F.lit(False)), i)), lambda i: i.isNotNull()
-    )
-    return F.filter(F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi")), lambda r: r["hi"] - r["lo"] + 1 >= k)
+def _ranges(lines: Column) -> Column:
+    """Ascending distinct numbers as maximal ranges (first, last)."""
+    ends = lambda step: F.array_except(lines, F.transform(lines, lambda i: i + step))
+    return F.arrays_zip(ends(1).alias("first"), ends(-1).alias("last"))
 
 
-def repeated_runs(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
-    """(doc_id, runs): line ranges (first, last) of each document that repeat an earlier occurrence.
+def without_repeated_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
+    """docs with repeated lines deleted from text, and three more columns: n_lines, n_removed, removed (line ranges).
 
-    Earlier means a smaller doc_id, or the same document further up. Only
-    documents with repeats have a row. Null texts, null doc_ids, empty texts and
-    texts of fewer non-empty lines than a window have none. Of rows that repeat a doc_id
-    one is read; other columns are not read.
-    """
-    sequences = materialize(line_sequences(docs))
-    prints = fingerprints(sequences, k, window)
-    place = F.struct("doc_id", "at")
-    again = prints.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    windows = prints.join(again, "gram", "left_semi").select("doc_id", "pos", "whole")
-    first = windows.groupBy("whole").agg(F.min(F.struct("doc_id", "pos")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    meets = windows.join(first, "whole").where("doc_id <> lead.doc_id or pos <> lead.pos")
-    offsets = meets.select("doc_id", F.col("lead.doc_id").alias("src"), (F.col("pos") - F.col("lead.pos")).alias("shift")).distinct()
-    source = sequences.select(F.col("doc_id").alias("src"), F.col("hashes").alias("other"))
-    both = offsets.join(source, "src").join(sequences, "doc_id")
-    low, high = F.greatest("shift", F.lit(0)), F.least(F.size("hashes"), F.size("other") + F.col("shift")) - 1
-    along = F.transform(F.sequence(low, high), lambda i: F.get("hashes", i) == F.get("other", i - F.col("shift")))
-    both = both.select("doc_id", "at", low.alias("low"), along.alias("same")).withColumn("run", F.explode(_runs(k + window - 1)))
-    line = lambda end: F.get("at", F.col("low") + F.col(f"run.{end}"))
-    return both.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(line("lo").alias("first"), line("hi").alias("last")))).alias("runs"))
-
-
-def without_repeated_lines(docs: DataFrame, k: int = 2, window: int = 2) -> DataFrame:
-    """docs with repeated runs deleted from text, and three more columns: n_lines, n_removed, removed (line ranges).
-
-    All rows and columns stay; a null text stays null with 0 lines. Columns of
-    docs that are named like the new ones are replaced.
+    All rows and columns stay. A null text stays null with 0 lines; a row with a
+    null doc_id loses nothing. Rows of one doc_id with different texts are documents
+    of their own; rows that agree in both lose the same lines. Columns of docs that
+    are named like the new ones are replaced. An empty table stays empty.
     """
-    runs = repeated_runs(docs, k, window).select(F.col("doc_id").alias("_doc"), F.col("runs").alias("removed"))
+    spans = repeated_ranges(docs, min_chars).groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+    spans = spans.agg(F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("first", "last")), lambda r: F.sequence(r["first"], r["last"]))))).alias("_cut"))
     old = docs.drop("n_lines", "n_removed", "removed")
-    joined = old.join(runs, old["doc_id"] == runs["_doc"], "left").drop("_doc")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    left = F.filter(numbered, lambda l: ~F.exists("removed", lambda r: (l["i"] >= r["first"]) & (l["i"] <= r["last"])))
-    joined = joined.withColumn("_left", F.when(F.col("removed").isNotNull(), left))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    n_left = F.when(F.col("removed").isNotNull(), F.size("_left")).otherwise(n_lines)
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines)).withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(n_lines - n_left))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(F.transform("_left", lambda l: l["x"]), "\n")).otherwise(F.col("text"))
-    return counted.withColumn("text", text).drop("_left").select(*old.columns, "n_lines", "n_removed", "removed")
+    able = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    joined = old.where(able).join(spans, (F.col("doc_id") == F.col("_doc")) & (F.hash("text") == F.col("_version")), "left").drop("_doc", "_version")
+    joined = joined.unionByName(old.where(~able).withColumn("_cut", F.lit(None).cast("array<int>")))
+    lines, cut = F.split("text", "\n"), F.col("_cut")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda i: F.get("_lines", i))
+    out = joined.withColumn("_lines", F.when(cut.isNotNull(), lines)).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+    out = out.withColumn("n_removed", F.coalesce(F.size(F.when(cut.isNotNull(), cut)), F.lit(0))).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
+    text = F.when(cut.isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return out.withColumn("removed", F.when(cut.isNotNull(), _ranges(cut))).withColumn("text", text).select(*old.columns, "n_lines", "n_removed", "removed")

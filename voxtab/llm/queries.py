@@ -85,7 +85,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT doc_id, g AS ln, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
                    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS g FROM documents WHERE text IS NOT NULL)),
         s AS (SELECT doc_id, ln, row_number() OVER d AS pos, t AS t0, lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(ln, 2) OVER d AS stop FROM l WHERE t <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
-        w AS (SELECT *, row_number() OVER (PARTITION BY t0, t1, t2 ORDER BY doc_id, pos) AS nth FROM s WHERE t2 IS NOT NULL),
+        w AS (SELECT doc_id, ln, stop, row_number() OVER (PARTITION BY t0, t1, t2 ORDER BY doc_id, pos) AS nth FROM s WHERE t2 IS NOT NULL
+              UNION ALL SELECT doc_id, ln, ln, row_number() OVER (PARTITION BY t0 ORDER BY doc_id, pos) FROM s WHERE length(t0) >= 40),
         k AS (SELECT l.doc_id, l.ln, l.line, w.doc_id IS NOT NULL AS cut FROM l LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(ln, stop + 1)) AS ln FROM w WHERE nth > 1) w USING (doc_id, ln))
         SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (cut) AS INTEGER) AS n_removed,
                CAST(length(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT cut), '')) AS INTEGER) AS chars_left,
