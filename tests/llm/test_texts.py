@@ -164,18 +164,34 @@ def test_binomial_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.05) == 1.0
 
 
-def test_cutoffs_hold_their_risk(spark):
-    rows = [(i, "en", True, 100, 500, 1 if i % 400 else 60) for i in range(8000)]
-    base = spark.createDataFrame(rows, "doc_id int, stratum string, good boolean, n_words int, word_chars int, n_symbols int")
-    for c in ("n_dup_lines", "n_repeat_words", "n_upper", "n_marks"):
-        base = base.withColumn(c, F.lit(0))
-    base = base.withColumn("n_lines", F.lit(1)).withColumn("n_letters", F.lit(1))
-    cuts = quality.choose_cutoffs(base, risk=0.06)
-    judged = quality.judge(base, cuts)
-    assert dict((r, c) for _, r, c in cuts)["symbols"] == 0.025 or judged.where("not kept").count() <= 0.06 * 8000
-    assert judged.where("not kept").count() <= 0.06 * 8000
-    few = quality.choose_cutoffs(base.limit(20))
-    assert few == [] and quality.judge(base, few).where("not kept").count() == 0
+def labelled_rows(spark, n, seed):
+    """Good rows whose symbol counts grow with chance, and bad ones with many; other statistics are equal."""
+    x = F.rand(seed)
+    rows = spark.range(n).withColumn("good", F.col("id") % 10 != 0).withColumn("n_symbols", F.when(F.col("good"), (x * x * x * x * 60).cast("bigint")).otherwise((40 + x * 60).cast("bigint")))
+    return rows.selectExpr("id AS doc_id", "'en' AS stratum", "good", "100 AS n_words", "500 AS word_chars", "n_symbols", "0 AS n_dup_lines", "0 AS n_repeat_words", "1 AS n_lines", "0 AS n_upper", "1 AS n_letters", "0 AS n_marks")
+
+
+def test_cutoffs_hold_their_risk_on_unseen_rows(spark):
+    unseen = labelled_rows(spark, 20000, 99)
+    rejected = []
+    for seed in range(5):
+        cuts = quality.choose_cutoffs(labelled_rows(spark, 3000, seed), risk=0.05)
+        assert [(s, r) for s, r, _ in cuts] == [("en", "symbols")]
+        judged = quality.judge(unseen, cuts).groupBy("good").agg(F.avg((F.size("failed_rules") > 0).cast("int")).alias("share"))
+        rejected.append({r.good: r.share for r in judged.collect()})
+    assert all(r[True] <= 0.05 for r in rejected) and all(r[False] > 0.5 for r in rejected)
+    few = quality.choose_cutoffs(labelled_rows(spark, 60, 1))
+    assert few == [] and quality.judge(unseen, few).where("size(failed_rules) > 0").count() == 0
+
+
+def test_rules_reject_junk_of_the_labelled_table(spark):
+    from voxtab.llm.queries import op7_quality_rules
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    judged = op7_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"))
+    lost = {r.quality: r.lost for r in judged.collect()}
+    assert lost[1] <= 0.03 and lost[0] > 0.8  # Spanish has too few labels for cutoffs
 
 
 def test_language_of_held_out_texts(spark):
@@ -230,11 +246,25 @@ def test_neighbours_recall_and_odd_vectors(spark):
         assert g.sort_values("rank").score.is_monotonic_increasing and list(g.sort_values("rank")["rank"]) == list(range(1, 11))
         assert np.allclose(g.score, [d[ids == i][0] for i in g.vec_id], rtol=0, atol=1e-12)
     assert total == 10 * (ids % 100 == 0).sum() and hit / total >= 0.9
+    assert got.verified.mean() < 0.5  # of 2,000 rows
     assert nearest(odd, F.col("vec_id") % 100 == 0).count() == 0
+    short = spark.createDataFrame([(9300, [1.0, 2.0], 0), (100, [0.25] * 64, 0)], v.schema)
+    assert nearest(v.unionByName(short), F.col("vec_id") % 100 == 0).where("query_id = 9300 or vec_id = 9300").count() == 0
+    assert nearest(v.unionByName(short), F.col("vec_id") % 100 == 0).where("query_id = 100").count() == 10
     few = nearest(v.limit(4).withColumn("vec_id", F.monotonically_increasing_id() % 4 * 50 + 100), F.col("vec_id") % 100 == 0)
     assert few.count() > 0
 
 
-def test_cutoffs_of_two_thousand_good_labels(spark):
-    base = spark.range(2000).selectExpr("'en' AS stratum", "true AS good", "100 AS n_words", "500 AS word_chars", "1 AS n_symbols", "0 AS n_dup_lines", "0 AS n_repeat_words", "1 AS n_lines", "0 AS n_upper", "1 AS n_letters", "0 AS n_marks")
-    assert {r for _, r, _ in quality.choose_cutoffs(base)} == set(quality.rules())
+def test_letters_of_every_plane(spark, docs):
+    model = langid.fit_texts(["the cat and the dog " * 20, "\U00010330\U00010331 \U00010332\U00010333 " * 20], ["en", "got"])
+    got = {r.doc_id: r for r in langid.identify(docs([(1, "\U00010330\U00010331"), (2, "\U00020000 \U00020001"), (3, "1 \U0001F600")]), model).collect()}
+    assert got[1].lang_pred == "got" and got[2].lang_pred != "und" and got[3].lang_pred == "und"
+
+
+def test_whole_texts_match_one_search_of_their_lattice(spark):
+    lat = lattice("piece_bpe_32k.model", 3)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").select("text").limit(60).collect()
+    for (text,) in rows:
+        if text:
+            want = [s for s, _ in lat.search(MARK + text.replace(" ", MARK))]
+            assert [g[0] for g in lat.encode(text)] == pytest.approx(want)

@@ -17,8 +17,8 @@ from voxtab.llm.words import _P, _P_INV, U, mix
 
 @cache
 def word_characters(digits: bool) -> np.ndarray:
-    """Whether a code point of the basic plane is a letter (or a digit)."""
-    return np.array([chr(i).isalnum() if digits else chr(i).isalpha() for i in range(1 << 16)])
+    """Whether a code point is a letter (or a digit)."""
+    return np.array([chr(i).isalnum() if digits else chr(i).isalpha() for i in range(0x110000)])
 
 
 class CharBlock:
@@ -31,7 +31,7 @@ class CharBlock:
         size = np.array([len(t) + 1 for t in part], np.int64)
         begin = 1 + np.concatenate([[0], np.cumsum(size)])
         table = word_characters(digits)
-        solid = table[np.minimum(cp, (1 << 16) - 1)] & (cp < (1 << 16))
+        solid = table[cp]
         edge = np.diff(solid.view(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         self.first = np.searchsorted(self.start, begin)

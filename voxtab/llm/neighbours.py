@@ -1,27 +1,32 @@
 """Approximate nearest neighbours by collision counting.
 
-Vectors are projected on m random lines; each block of rows keeps one array per
-line, sorted by projection. A query opens a window around its own projection on
-every line; a vector inside the window collides with it there. Windows widen by
-the factor `ratio` (virtual rehashing: no array is built anew); a vector that
-collides on at least `threshold` of the lines is verified by its exact distance.
-A query ends in a block once it has verified k vectors within the distance that
-the window width stands for, or all rows. Queries in blocks meet rows in blocks,
-and each pair of blocks sends on k rows per query.
+Vectors are projected on m lines (whole sets of orthogonal directions). Every row
+lies in one block, which keeps one array per line, sorted by projection. A query
+opens a window around its own projection on every line; a vector inside the window
+collides with it there. Windows widen by the factor `ratio` (virtual rehashing: no
+array is built anew) through a series of radii R: a vector within R falls into a
+line's window with probability P, so one that collides on `slack` standard
+deviations less than m P lines, or more, is verified by its exact distance. A query
+ends in a block once k verified vectors lie within R, or all rows are verified.
+Queries are sent to every block and stream past its arrays; each block sends k rows
+per query on.
 """
 
 from __future__ import annotations
 
+from math import erf, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtab.plans.leaders import tasks
 from voxtab.plans.lineage import materialize
 
-#: Rows of a block, and queries of a block.
-BLOCK, QUERIES = 8192, 512
+#: Rows of a block: at most so many, and not fewer than that for the sake of more tasks.
+MOST, LEAST = 65_536, 4_096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -31,99 +36,110 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
+def directions(dim: int, lines: int, seed: int) -> np.ndarray:
+    """Unit columns: orthogonal sets of dim each, as many as `lines` needs."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-lines // dim))], 1)[:, :lines]
+
+
 class Block:
     """Sorted projections of a block's vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray, ratio: float):
         self.ids, self.x, self.lines = ids, x, lines
-        p = x @ lines
-        self.order = np.argsort(p, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(p, self.order, 0)
-
-    def search(self, qid: int, q: np.ndarray, k: int, width: float, ratio: float, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest that were verified, nearest first, ties to the smaller id."""
+        p = (x @ lines).T
+        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(p, self.order, 1)
+        # Radii from far below the spread of the vectors to twice their greatest distance from the middle.
+        far = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
+        low, high = max(far.mean() / 30, 1e-300), max(2.1 * far.max(), 1e-299)
+        self.radii = low * ratio ** np.arange(2 + int(np.log(high / low) / np.log(ratio)))
+
+    def search(self, qid: int, q: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and distances of the k nearest that were verified, nearest first, ties to the smaller id; and how many were verified."""
         m, n = self.lines.shape[1], len(self.ids)
-        at = q @ self.lines
-        hits = np.zeros(n, np.int16)
-        lo = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(m)])
-        hi = lo.copy()
-        done = np.zeros(n, bool)
-        done[self.ids == qid] = True
-        left = n - int(done.sum())
-        found, dist = [], []
-        total, radius = 0, width
-        while total < left:
-            for j in range(m):
-                a = int(np.searchsorted(self.sorted[:, j], at[j] - radius))
-                b = int(np.searchsorted(self.sorted[:, j], at[j] + radius, "right"))
-                hits[self.order[a : lo[j], j]] += 1
-                hits[self.order[hi[j] : b, j]] += 1
-                lo[j], hi[j] = a, b
-            new = np.flatnonzero((hits >= threshold) & ~done)
+        share = erf(1 / sqrt(2))  # of a line's window, whose half-width is one standard deviation of R's projections
+        threshold = max(1, int(m * share - slack * sqrt(m * share * (1 - share))))
+        at, width = q @ self.lines, self.radii / sqrt(len(q))
+        lo = np.stack([np.searchsorted(s, a - width) for s, a in zip(self.sorted, at)])
+        hi = np.stack([np.searchsorted(s, a + width, "right") for s, a in zip(self.sorted, at)])
+        start = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
+        hits, open_ = np.zeros(n, np.int64), self.ids != qid
+        found, dist = [np.zeros(0, np.int64)], [np.zeros(0)]
+        total, left = 0, int(open_.sum())
+        before_lo = before_hi = start
+        for step in range(len(self.radii)):
+            new_lo, new_hi = np.minimum(lo[:, step], start), np.maximum(hi[:, step], start)
+            if step == len(self.radii) - 1:
+                new_lo, new_hi = np.zeros(m, np.int64), np.full(m, n)
+            rings = [o[a:b] for o, a, b in zip(self.order, new_lo, before_lo) if b > a] + [o[a:b] for o, a, b in zip(self.order, before_hi, new_hi) if b > a]
+            before_lo, before_hi = new_lo, new_hi
+            if not rings:
+                continue
+            hits += np.bincount(np.concatenate(rings), minlength=n)
+            new = np.flatnonzero((hits >= threshold) & open_)
             if len(new):
-                done[new] = True
+                open_[new] = False
                 found.append(new)
                 dist.append(np.sqrt(((self.x[new] - q) ** 2).sum(1)))
                 total += len(new)
-            if total >= k:
-                d = np.concatenate(dist)
-                if np.partition(d, k - 1)[k - 1] <= radius * REACH:
-                    break
-            if (hi - lo == n).all():
+            if total == left:
+                break
+            if total >= k and np.partition(np.concatenate(dist), k - 1)[k - 1] <= self.radii[step]:
                 break
-            radius *= ratio
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
         f, d = np.concatenate(found), np.concatenate(dist)
         best = np.lexsort((self.ids[f], d))[:k]
-        return self.ids[f[best]], d[best]
-
+        return self.ids[f[best]], d[best], total
 
-#: A window of half-width r stands for neighbours within REACH * r.
-REACH = 2.0
 
+def nearest(vectors: DataFrame, is_query, k: int = 10, lines: int = 128, slack: float = 1.0, ratio: float = 1.05, seed: int = 11) -> DataFrame:
+    """(query_id, rank, vec_id, score, verified): the k nearest rows found for each query, by Euclidean distance.
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, lines: int = 24, share: float = 0.6, ratio: float = 1.3, seed: int = 11) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query row, by Euclidean distance.
-
-    is_query: a condition on vec_id. A query is no neighbour of itself (rows of
-    its own vec_id are left out); rows whose vectors are null, zero or hold nulls
-    or non-finite numbers take no part. All vectors must have one length. Fewer
-    than k candidates give as many rows; no queries or no vectors give none.
+    is_query: a condition on vec_id; verified: the share of the rows of the found
+    row's block whose distance from the query was computed. A query is no neighbour of itself (rows of its own
+    vec_id are left out); of rows that repeat a query's vec_id the least vector is
+    asked, while each row that repeats another vec_id may be found. Rows whose
+    vectors are null, zero or hold nulls or non-finite numbers take no part, nor do
+    those of another length than most. Fewer than k candidates give as many rows; no
+    queries or no vectors give none. Other columns are not read.
     """
-    rows = materialize(usable(vectors))
-    n, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    empty = "query_id bigint, vec_id bigint, score double"
-    if not n:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rng = np.random.default_rng(seed)
-    a = rng.normal(size=(dim, lines))
-    a /= np.linalg.norm(a, axis=0)
-    queries = rows.where(is_query)
-    n_queries = queries.count()
-    blocks, parts = 1 + n // BLOCK, 1 + n_queries // QUERIES
-    dealt = lambda df, many, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int"))
-    held = dealt(rows, blocks, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("query", F.lit(False))
-    asked = dealt(queries, parts, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
-    both = held.unionByName(asked)
-
-    def search(key, table):
-        ids = table.column("vec_id").to_numpy()
-        x = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        q = table.column("query").to_numpy(zero_copy_only=False)
-        out: list[list] = [[], [], []]
-        if q.any() and not q.all():
-            order = np.argsort(ids[~q], kind="stable")
-            b = Block(ids[~q][order], x[~q][order], a)
-            spread = np.diff(b.sorted[[len(b.sorted) // 20, -1 - len(b.sorted) // 20]], axis=0).mean()
-            width = max(spread / 40, 1e-12)
-            for qid, v in zip(ids[q], x[q]):
-                near, d = b.search(int(qid), v, k, width, ratio, int(np.ceil(share * lines)))
-                out[0] += [int(qid)] * len(near)
-                out[1] += near.tolist()
-                out[2] += d.tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = both.groupBy("block", "part").applyInArrow(search, empty)
+    rows = usable(vectors).withColumn("dim", F.size("embedding"))
+    rows = materialize(rows)
+    most = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if most is None:
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, verified double")
+    dim, n = most
+    rows = rows.where(F.col("dim") == dim).drop("dim")
+    blocks = max(-(-n // MOST), min(tasks(rows), n // LEAST), 1)
+    a = directions(dim, lines, seed)
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+
+    def run(batches):
+        block, number = None, None
+        ids, xs = [], []
+        for b in batches:
+            of, own, x = b.column(2).to_numpy(), b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, dim)
+            asks = b.column(3).to_numpy(zero_copy_only=False)
+            for part in np.unique(of).tolist():
+                if part != number:
+                    block, number, ids, xs = None, part, [], []
+                rows, queries = np.flatnonzero((of == part) & ~asks), np.flatnonzero((of == part) & asks)
+                if len(rows):
+                    ids.append(own[rows])
+                    xs.append(x[rows])
+                if len(queries) and ids:
+                    block = block or Block(np.concatenate(ids), np.concatenate(xs), a, ratio)
+                    out: list[list] = [[], [], [], []]
+                    for qid, v in zip(own[queries].tolist(), x[queries]):
+                        near, d, seen = block.search(qid, v, k, slack)
+                        for c, values in zip(out, ([qid] * len(near), near.tolist(), d.tolist(), [seen / len(block.ids)] * len(near))):
+                            c += values
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["query_id", "vec_id", "score", "verified"])
+
+    dealt = held.select("vec_id", "embedding", "block", "asks").unionByName(asked.select("vec_id", "embedding", "block", "asks"))
+    dealt = dealt.repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double, verified double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")

@@ -12,6 +12,7 @@ Scores are the model's own (of a BPE vocabulary: minus the rank of a merge).
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from heapq import heappop, heappush
@@ -170,20 +171,22 @@ class PieceLattice:
                 self.beside[text] = found
         return found
 
-    def encode(self, text: str | None) -> list[tuple[float, bytes, bool]]:
-        """The n best (score, ids as little-endian 32-bit numbers, whether they decode to the text).
+    def encode(self, text: str | None) -> list[tuple[float, bytes, bool, str | None]]:
+        """The n best (score, ids as little-endian 32-bit numbers, whether they decode to the text, of the first the decoded text).
 
+        The first is decoded whole; of the others, the chunks in which they differ.
         One empty path for null and empty texts.
         """
         if not text:
-            return [(0.0, b"", True)]
+            return [(0.0, b"", True, "")]
         whole = MARK + text.replace(" ", MARK)
         chunks = self.split(whole)
         get, chunk = self.young.get, self.chunk
         scores, ids, losses = zip(*[get(c) or chunk(c) for c in chunks])
         base, joined = sum(scores), b"".join(ids)
-        same = self.spell(joined) == whole.encode("utf-8", "replace")
-        out = [(base, joined, same)]
+        decoded = self.decode(joined)
+        same = decoded == text.encode("utf-8", "replace").decode().replace(MARK, " ")
+        out = [(base, joined, same, decoded)]
         if self.n_best == 1:
             return out
         # A path that changes a chunk outside the n - 1 of least loss is beaten by n others.
@@ -198,7 +201,7 @@ class PieceLattice:
             parts = list(ids)
             for i, x in change:
                 parts[i] = x
-            out.append((base - lost, b"".join(parts), same and all(self.spell(x) == chunks[i].encode("utf-8", "replace") for i, x in change)))
+            out.append((base - lost, b"".join(parts), same and all(self.spell(x) == chunks[i].encode("utf-8", "replace") for i, x in change), None))
         return out
 
     def spell(self, ids: bytes) -> bytes:
@@ -222,14 +225,15 @@ def lattice(model: str, n_best: int) -> PieceLattice:
 
 
 def encode_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", n_best: int = 3, with_ids: bool = True) -> DataFrame:
-    """(doc_id, rank, score, n_pieces, ids_crc32, round_trip, ids): up to n_best segmentations of each text, rank from 1.
+    """(doc_id, rank, score, n_pieces, ids_crc32, round_trip, decoded_md5, ids): up to n_best segmentations of each text, rank from 1.
 
     ids_crc32 is over little-endian 32-bit ids; round_trip says that the ids
-    decode to the text (with marks read as spaces); ids is null unless asked for.
+    decode to the text (with marks read as spaces); decoded_md5 is of the text that
+    the ids of rank 1 decode to; ids is null unless asked for.
     Null and empty texts have one path without pieces. Repeated rows and null
     doc_ids are kept; other columns are not read.
     """
-    names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids"]
+    names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "decoded_md5", "ids"]
 
     def run(batches):
         lat = lattice(model, n_best)
@@ -238,13 +242,14 @@ def encode_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", n_best: in
             for lo in range(0, len(docs_), 512):
                 rows: list[list] = [[] for _ in names]
                 for doc, text in zip(docs_[lo : lo + 512], texts[lo : lo + 512]):
-                    for rank, (score, ids, same) in enumerate(lat.encode(text), 1):
-                        for c, v in zip(rows, (doc, rank, score, len(ids) // 4, zlib.crc32(ids), same, np.frombuffer(ids, "<i4") if with_ids else None)):
+                    for rank, (score, ids, same, decoded) in enumerate(lat.encode(text), 1):
+                        digest = None if decoded is None else hashlib.md5(decoded.encode()).hexdigest()
+                        for c, v in zip(rows, (doc, rank, score, len(ids) // 4, zlib.crc32(ids), same, digest, np.frombuffer(ids, "<i4") if with_ids else None)):
                             c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    schema = "doc_id bigint, rank int, score double, n_pieces bigint, ids_crc32 bigint, round_trip boolean, ids array<int>"
+    schema = "doc_id bigint, rank int, score double, n_pieces bigint, ids_crc32 bigint, round_trip boolean, decoded_md5 string, ids array<int>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
 Every text gets statistics; each rule rejects texts whose statistic exceeds a
-cutoff. Cutoffs are chosen per stratum from labelled rows: the candidates of a
-fixed list are tested from the loosest on, until one fails. The exact
-(Clopper-Pearson) upper bound on the share of good texts a candidate rejects must
-stay within the rule's part of `risk`, at a confidence divided by the number of
-rules and strata (Bonferroni; tests in a fixed order need no more). The last that
-passed is taken; a stratum with too few good labels gets none. So with probability
-1 - `delta`, no stratum loses more than `risk` of its good texts.
+cutoff. Per stratum, half of the labelled rows propose a ladder of joint cutoffs,
+from loose to tight: at each level every rule takes the lowest cutoff that rejects
+no more good rows than its part of the level's budget, if it rejects bad ones ten
+times as readily. The other half, the holdout, tests the levels in that fixed
+order, so they need no correction among themselves: the exact (Clopper-Pearson)
+upper bound on the share of good texts that a level's rules reject together must
+stay within `risk`, at a confidence divided by the number of strata (Bonferroni). The
+last level before the first failure is taken; a stratum with too few good labels
+gets no cutoffs. So with probability 1 - `delta`, no stratum loses more than `risk`
+of its good texts to the rules.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from voxtab.llm.words import shingles, word_blocks
 
 #: Fixed: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: A rule is used where it rejects bad rows so many times as readily as good ones.
+ODDS = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
 _SYMBOL, _UPPER, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(4))
@@ -113,33 +118,66 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> list[tuple[str, str, float]]:
-    """(stratum, rule, cutoff) from labelled rows with COUNTS, stratum and good (boolean).
+def _count(cuts: list[float], holds) -> Column:
+    """The number of cutoffs for which a comparison holds."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: holds(c)))
 
-    Only counts per stratum, rule and candidate reach the driver. Rows with a
-    null in good are left out. Without rows there are no cutoffs.
+
+def ladder(over: dict[str, tuple[np.ndarray, np.ndarray]], risk: float, levels: int) -> dict[str, list[float]]:
+    """Per rule its cutoffs at every level, from loose to tight (infinite where it rejects nothing).
+
+    over: per rule the good and the bad rows with so many cutoffs below their statistic.
+    """
+    out = {}
+    for rule, (_, cuts) in rules().items():
+        good, bad = over[rule]
+        beyond = [x.sum() - np.cumsum(x)[:-1] for x in (good, bad)]  # of cutoff i: rows above it
+        share = [x / max(1, n.sum()) for x, n in zip(beyond, (good, bad))]
+        out[rule], held = [], np.inf
+        for level in range(1, levels + 1):
+            fits = (share[0] <= risk * level / levels / len(over)) & (share[1] >= ODDS * (beyond[0] + 1) / (good.sum() + 1))
+            if fits.any():
+                held = min(held, cuts[int(fits.argmax())])
+            out[rule].append(float(held))
+    return out
+
+
+def choose_cutoffs(labelled: DataFrame, risk: float = 0.03, delta: float = 0.05, levels: int = 20) -> list[tuple[str, str, float]]:
+    """(stratum, rule, cutoff) from labelled rows with doc_id, COUNTS, stratum and good (boolean).
+
+    Rows are dealt to the two halves by a hash of doc_id. Only counts per stratum,
+    rule and candidate, and per stratum and level, reach the driver. Rows with a
+    null in good or doc_id are left out. Without rows there are no cutoffs.
     """
     table = rules()
-    bins = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c, s=stat: c < s)).alias("bin")) for r, (stat, cuts) in table.items()]
-    rows = labelled.where("good").select("stratum", F.explode(F.array(*bins)).alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("n")).collect()
-    strata = sorted({r["stratum"] for r in rows})
-    tests = max(1, len(strata) * len(table))
+    labelled = labelled.where("good is not null and doc_id is not null").withColumn("_holdout", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 1)
+    bins = [F.struct(F.lit(r).alias("rule"), _count(cuts, stat.__gt__).alias("bin")) for r, (stat, cuts) in table.items()]
+    exploded = labelled.where("not _holdout").select("stratum", "good", F.explode(F.array(*bins)).alias("x"))
+    counts: dict[str, dict] = {}
+    for r in exploded.groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count("*").alias("n")).collect():
+        over = counts.setdefault(r["stratum"], {k: (np.zeros(len(c) + 1, np.int64), np.zeros(len(c) + 1, np.int64)) for k, (_, c) in table.items()})
+        over[r["rule"]][0 if r["good"] else 1][r["bin"]] += r["n"]
+    if not counts:
+        return []
+    ladders = {s: ladder(over, risk, levels) for s, over in sorted(counts.items())}
+    # The first level that rejects a row: levels whose cutoff its statistic does not exceed come before it.
+    first = []
+    for rule, (stat, _) in table.items():
+        first.append(F.coalesce(*[F.when(F.col("stratum") == s, _count(steps[rule], stat.__le__)) for s, steps in ladders.items()], F.lit(levels)))
+    tested = labelled.where("_holdout and good").select("stratum", F.least(*first).alias("level")).groupBy("stratum", "level").agg(F.count("*").alias("n")).collect()
     out = []
-    for s in strata:
-        for rule, (_, cuts) in table.items():
-            over = np.zeros(len(cuts) + 1, np.int64)
-            for r in rows:
-                if r["stratum"] == s and r["rule"] == rule:
-                    over[r["bin"]] += r["n"]
-            n = int(over.sum())
-            rejected = n - np.cumsum(over)[:-1]  # of cutoff i: rows above it
-            lowest = None
-            for cut, k in zip(cuts[::-1], rejected.tolist()[::-1]):
-                if k > n * risk / len(table) or upper_bound(int(k), n, delta / tests) > risk / len(table):
-                    break
-                lowest = cut
-            if lowest is not None:
-                out.append((s, rule, lowest))
+    for s, steps in ladders.items():
+        at = np.zeros(levels + 1, np.int64)
+        for r in tested:
+            if r["stratum"] == s:
+                at[r["level"]] += r["n"]
+        n, passed = int(at.sum()), -1
+        for level, k in enumerate(np.cumsum(at)[:levels].tolist()):
+            if k > n * risk or upper_bound(k, n, delta / len(ladders)) > risk:
+                break
+            passed = level
+        if passed >= 0:
+            out += [(s, rule, cuts[passed]) for rule, cuts in steps.items() if cuts[passed] < np.inf]
     return out
 
 

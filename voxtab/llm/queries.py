@@ -63,9 +63,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    strata = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("stratum")).dropDuplicates(["doc_id"])
-    counted = materialize(quality.text_counts(docs).join(strata, "doc_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit("und"))))
-    labels = _table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 1).alias("good"))
+    # Of rows that repeat a doc_id, all are judged in the stratum of the least language.
+    strata = docs.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.min("lang"), F.lit("und")).alias("stratum"))
+    counted = quality.text_counts(docs)
+    known = counted.where("doc_id is not null").join(strata, "doc_id")
+    counted = materialize(known.unionByName(counted.where("doc_id is null").withColumn("stratum", F.lit("und"))))
+    labels = _table(spark, sf_dir, "labels").where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     cutoffs = quality.choose_cutoffs(counted.where(~quality.base_failed()).join(labels, "doc_id"))
     return quality.judge(counted, cutoffs)
 
@@ -75,7 +78,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_nbest(_table(spark, sf_dir, "documents"), n_best=3, with_ids=False).drop("ids")
+    return encode_nbest(_table(spark, sf_dir, "documents"), n_best=3, with_ids=False).drop("ids")  # decoded_md5 is of the text that the ids decode to
 
 
 QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}

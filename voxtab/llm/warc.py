@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtab.llm.words import string_buffers
+from voxtab.plans.leaders import with_leaders
 from voxtab.plans.lineage import materialize, shared_dir
 
 VERSION = b"WARC/1.1\r\n"
@@ -30,9 +31,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: int) -> str:
-    """The record id of a page."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, str(page_id))}>"
+def record_id(page_id: int, digest: str) -> str:
+    """The record id of a page with a payload."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{digest}')}>"
 
 
 def _clean(value: str | None) -> str:
@@ -47,10 +48,12 @@ def record_types(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.where("page_id is not null").select("page_id", "url", "html", F.octet_length(body).cast("bigint").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    same = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
-    kept = same.agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(kept, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("target", F.when(F.col("target") != F.col("page_id"), F.col("target")))
+    large = F.col("payload_bytes") >= least_bytes
+    same = rows.where(large).groupBy(F.col("payload_digest").alias("_digest"))
+    kept = materialize(same.agg(F.max("page_id").alias("target"), F.count("*").alias("n")))
+    found = with_leaders(rows.where(large).withColumn("_digest", F.col("payload_digest")), kept, "_digest")
+    found = found.withColumn("target", F.when(F.col("target") != F.col("page_id"), F.col("target")))
+    return found.unionByName(rows.where(~large).withColumn("target", F.lit(None).cast("bigint")))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", chunk_bytes: int = 1 << 20) -> DataFrame:
@@ -69,7 +72,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
                 http = HTTP.format(size).encode()
                 head = {
                     "WARC-Type": "response" if target is None else "revisit",
-                    "WARC-Record-ID": record_id(page),
+                    "WARC-Record-ID": record_id(page, digest),
                     "WARC-Date": date,
                     "WARC-Target-URI": _clean(url),
                     "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
@@ -78,7 +81,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
                     "Content-Length": len(http) + (size if target is None else 0),
                 }
                 if target is not None:
-                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(target)}
+                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(target, digest)}
                 z = zlib.compressobj(6, wbits=31)
                 text = "".join(f"{k}: {v}\r\n" for k, v in head.items())
                 out.write(z.compress(VERSION + text.encode() + b"\r\n" + http))
@@ -200,25 +203,27 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 1000, chunk_bytes: i
 
     page_id, payload_bytes, payload_digest (as computed while reading; a
     revisit's are those of the record it refers to), record_type, refers_to,
-    declared_digest, chunks. Rows with a null page_id are left out, rows that
-    repeat a page_id are records of their own, other columns are not read.
+    declared_digest, chunks. Payloads come as chunk rows, whose sizes are held
+    against what the reader counted. Rows with a null page_id are left out; rows
+    that repeat a page_id are records of their own, and have one record id if their
+    payloads agree too; other columns are not read.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = materialize(write_archives(record_types(pages, least_bytes), folder, chunk_bytes=chunk_bytes))
-    tasks = max(1, manifest.count())
-    chunks = materialize(read_chunks(manifest.repartition(tasks, "path"), folder, chunk_bytes, with_data=False).drop("data"))
-    last = chunks.where("is_last")
-    kept = last.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id"))
-    kept = kept.agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("b"), F.first("digest").alias("d"))
-    revisit = F.col("record_type") == "revisit"
-    out = last.join(kept, "refers_to_id", "left")
-    return out.select(
-        "page_id",
-        F.when(revisit, F.col("b")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("d")).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        F.when(revisit, F.col("refers_to")).alias("refers_to"),
-        "declared_digest",
-        (F.col("chunk") + 1).alias("chunks"),
+    chunks = read_chunks(manifest.repartition(max(1, manifest.count()), "path"), folder, chunk_bytes)
+    # What the reader counted and hashed must be what its chunks hold.
+    held = chunks.withColumn("held", F.octet_length("data")).drop("data")
+    records = held.groupBy("record_id", "page_id", "record_type", "refers_to_id", "declared_digest").agg(
+        F.sum(F.when(F.col("chunk") == 0, 1).otherwise(0)).alias("copies"), F.sum("held").alias("held"), F.max(F.struct("chunk", "payload_bytes", "digest")).alias("end")
     )
+    whole = F.col("held") == F.col("end.payload_bytes") * F.col("copies")
+    records = records.withColumn("end", F.when(whole, F.col("end")).otherwise(F.raise_error(F.lit("a record's chunks do not add up"))))
+    records = materialize(records.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies", "held"))
+    own = records.where("record_type = 'response'").select("page_id", F.col("end.payload_bytes").alias("payload_bytes"), F.col("end.digest").alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"), "declared_digest", (F.col("end.chunk") + 1).alias("chunks"))
+    revisits = records.where("record_type = 'revisit'")
+    size = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    kept = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("end.payload_bytes").alias("payload_bytes"), F.col("end.digest").alias("payload_digest"))
+    kept = materialize(kept.join(size, "refers_to_id").dropDuplicates(["refers_to_id"]))
+    again = with_leaders(revisits.select("page_id", "record_type", "declared_digest", "end", "refers_to_id"), kept, "refers_to_id")
+    return own.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "declared_digest", (F.col("end.chunk") + 1).alias("chunks")))
