@@ -24,4 +24,9 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def has_bits(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each of these bits is set."""
+    return (bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)

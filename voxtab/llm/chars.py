@@ -60,7 +60,7 @@ class CharBlock:
         return word, mix((self.sums[at + n] - self.sums[at]) * self.inverse[at] + U(n << 8))
 
 
-def char_blocks(texts: list[str | None], digits: bool = False, block_chars: int = 1 << 19) -> Iterator[CharBlock]:
+def char_blocks(texts: list[str | None], digits: bool = False, block_chars: int = 1 << 17) -> Iterator[CharBlock]:
     """Blocks of whole texts of about block_chars characters, one text at least."""
     lo, held = 0, 0
     for i, t in enumerate(texts):

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.bitmap import bit_of, id_bitmap
+from voxtab.llm.bitmap import bit_of, has_bits, id_bitmap
+from voxtab.llm.streams import slices
 from voxtab.llm.words import U, same_bits, set_keys, shingle_sets, word_blocks
 from voxtab.plans.graph import connected_components
 from voxtab.plans.leaders import with_leaders
@@ -58,7 +59,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
+        for b in slices(batches, 4096):
             ids, versions, col = b.columns
             for w in word_blocks(col):
                 first, h = shingle_sets(w, n)
@@ -100,11 +101,12 @@ def shingle_counters(signs: DataFrame) -> np.ndarray:
 
 def prefixes(docs: DataFrame, n: int, percent: int, counters: np.ndarray) -> DataFrame:
     """(token, key, size, pos): the prefix of each set in rare-first order, once per task however many copies it has."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers, whatever the input
+    # COUNTERS numbers, whatever the input; counts beyond 31 bits are as common as common gets.
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counters, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
         given: set[int] = set()
-        for b in batches:
+        for b in slices(batches, 4096):
             for w in word_blocks(b.column(0)):
                 first, h = shingle_sets(w, n)
                 keys, size = set_keys(first, h), np.diff(first)
@@ -183,8 +185,8 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "doc_id"))
 
     def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(shared.value[b.column(2).to_numpy()]))
+        for b in slices(batches, 4096):
+            b = b.filter(pa.array(has_bits(shared.value, b.column(2).to_numpy())))
             for w in word_blocks(b.column(1)):
                 first, h = shingle_sets(w, n)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(same_bits(h)))

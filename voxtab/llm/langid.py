@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtab.llm.chars import CharBlock, char_blocks
+from voxtab.llm.streams import slices
 
 LONGEST = 5
 
@@ -130,7 +131,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 6 * 60,000 entries per language
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, conf = predict_texts(b.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(conf)], names=["doc_id", "lang_pred", "score"])
 

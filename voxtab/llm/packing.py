@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtab.llm.streams import slices
 from voxtab.llm.wordbpe import word_bpe
 from voxtab.plans.lineage import materialize
 
@@ -42,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window:
 
     def cut(batches):
         bpe = word_bpe(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             rows: list[list] = [[] for _ in range(6)]
             for doc, data in zip(b.column(0).to_pylist(), bpe.encode_bytes(b.column(1).to_pylist())):
                 data += end

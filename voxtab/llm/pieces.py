@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from voxtab.llm.streams import slices
 from voxtab.llm.wordbpe import vocabulary_path
 
 MARK = "▁"
@@ -237,7 +238,7 @@ def encode_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", n_best: in
 
     def run(batches):
         lat = lattice(model, n_best)
-        for b in batches:
+        for b in slices(batches):
             docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(docs_), 512):
                 rows: list[list] = [[] for _ in names]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtab.llm.streams import slices
 from voxtab.llm.words import shingles, word_blocks
 
 #: Fixed: characters that count as symbols.
@@ -47,7 +48,7 @@ def text_counts(docs: DataFrame, window: int = 8) -> DataFrame:
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 4096):
             for w in word_blocks(b.column(1), lower=False):
                 m = w.hi - w.lo
                 of = lambda at: np.bincount(np.searchsorted(w.byte_first, at, "right") - 1, minlength=m)[:m]

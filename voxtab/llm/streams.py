@@ -1,13 +1,29 @@
-"""Groups of consecutive rows in a stream of Arrow batches."""
+"""Streams of Arrow batches: short slices, and groups of consecutive rows."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows; an empty one stays.
+
+    At the end of a partition, freed memory goes back to the system: a worker
+    outlives its task, beside those of other stages.
+    """
+    for b in batches:
+        for lo in range(0, max(1, b.num_rows), rows):
+            yield b.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of rows that agree in their first `keys` (integer) columns, from batches sorted by them.
 

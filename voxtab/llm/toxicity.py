@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtab.llm.chars import CharBlock, char_blocks
+from voxtab.llm.streams import slices
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             z = window_logits(b.column(1).to_pylist(), m.value, m.bias)
             p = 1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
@@ -205,7 +206,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             z = window_logits(b.column(at).to_pylist(), m.value, m.bias)
             p = 1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "toxicity_score"])

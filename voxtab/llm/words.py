@@ -65,7 +65,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def word_blocks(column: pa.Array, lower: bool = True, block_bytes: int = 1 << 19) -> Iterator[Words]:
+def word_blocks(column: pa.Array, lower: bool = True, block_bytes: int = 1 << 18) -> Iterator[Words]:
     """Words of a string column, in blocks of whole documents of about block_bytes (one document at least)."""
     off, data = string_buffers(column)
     n, lo = len(column), 0
