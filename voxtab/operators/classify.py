@@ -17,7 +17,7 @@ def lookup_backoff(rows: DataFrame, train: DataFrame, signature: str, usable: Co
     """Adds pred_rule: the majority truth of the row's signature, or of all training rows where the signature is unknown or not usable."""
     by_sig = _majority(train, [signature]).withColumnRenamed("best", "_s")
     overall = _majority(train.withColumn("_one", F.lit(1)), ["_one"]).select(F.col("best").alias("_g"))
-    y = rows.join(F.broadcast(by_sig), signature, "left").crossJoin(F.broadcast(overall))
+    y = rows.join(by_sig, signature, "left").crossJoin(F.broadcast(overall))
     return y.withColumn("pred_rule", F.coalesce(F.when(usable, F.col("_s")), F.col("_g"))).drop("_s", "_g")
 
 
@@ -74,19 +74,22 @@ def mirror_rows(x: DataFrame) -> DataFrame:
     return x.withColumn("mirrored", F.lit(False)).unionByName(x.withColumn("embedding", swap).withColumn("label", label).withColumn("mirrored", F.lit(True)))
 
 
-def knn_cosine(train: DataFrame, queries: DataFrame, k: int, power: int) -> DataFrame:
+def knn_cosine(train: DataFrame, queries: DataFrame, k: int, power: int, block: int = 4096) -> DataFrame:
     """(vec_id, truth, pred, w): votes sim**power of the k most similar training rows of other folds with positive similarity.
 
-    Queries in one block of bounded size would be broadcast; here both sides are
-    joined on fold pairs, so each query meets the rows of the four other folds.
+    A stated set of queries against all rows, in blocks: training rows are dealt to
+    blocks of bounded size, queries go to every block, and each block sends k rows on.
     """
     norm = lambda df: df.withColumn("_n", F.sqrt(energy(F.col("embedding"))))
-    q = norm(queries).select("vec_id", F.col("label").alias("truth"), "fold", F.col("embedding").alias("a"), F.col("_n").alias("na"))
-    q = q.withColumn("other", F.explode(F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")), F.array("fold")))).drop("fold")
-    t = norm(train).select(F.col("vec_id").alias("nb"), "label", F.col("fold").alias("other"), F.col("embedding").alias("b"), F.col("_n").alias("nbn"))
+    blocks = train.count() // block + 1
+    q = norm(queries).select("vec_id", F.col("label").alias("truth"), F.col("fold").alias("own"), F.col("embedding").alias("a"), F.col("_n").alias("na"))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    t = norm(train).select(F.col("vec_id").alias("nb"), "label", "fold", F.col("embedding").alias("b"), F.col("_n").alias("nbn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    sims = q.join(t, "other").select("vec_id", "truth", "nb", "label", (dot / (F.col("na") * F.col("nbn"))).alias("sim")).where("sim > 0")
-    near = sims.withColumn("r", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc(F.round("sim", 9)), "nb"))).where(F.col("r") <= k)
+    sims = q.join(t, "block").where("own <> fold").select("vec_id", "truth", "block", "nb", "label", (dot / (F.col("na") * F.col("nbn"))).alias("sim")).where("sim > 0")
+    order = (F.desc(F.round("sim", 9)), "nb")
+    in_block = sims.withColumn("r", F.row_number().over(W.partitionBy("vec_id", "block").orderBy(*order))).where(F.col("r") <= k)
+    near = in_block.withColumn("r", F.row_number().over(W.partitionBy("vec_id").orderBy(*order))).where(F.col("r") <= k)
     votes = near.groupBy("vec_id", "truth", "label").agg(F.sum(F.pow("sim", F.lit(power))).alias("w"))
     best = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc(F.round("w", 9)), "label"))
     return votes.withColumn("r", best).where("r = 1").select("vec_id", "truth", F.col("label").alias("pred"), "w")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,11 +56,22 @@ def paired_counts(base: DataFrame, cand: DataFrame, unit: list[str]) -> DataFram
     """One row: units better and worse under cand (by hits), and the one-sided sign-test probability."""
     both = base.withColumnRenamed("hits", "_b").join(cand.withColumnRenamed("hits", "_c"), unit, "full_outer").fillna(0, ["_b", "_c"])
     s = F.signum(F.col("_c") - F.col("_b"))
-    c = both.agg(F.count_if(s > 0).alias("wins"), F.count_if(s < 0).alias("losses")).withColumn("n", (F.col("wins") + F.col("losses")).cast("int"))
-    # One row: its log-factorials are an array of n + 1 numbers.
-    c = c.withColumn("lf", F.expr("aggregate(sequence(1, greatest(n, 1)), array(0D), (a, x) -> concat(a, array(element_at(a, -1) + ln(x))))"))
-    terms = F.expr("transform(sequence(int(wins), n), k -> exp(lf[n] - lf[k] - lf[n - k] - n * ln(2)))")
-    return c.select("wins", "losses", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("p_value"))
+    wins, losses = both.agg(F.count_if(s > 0), F.count_if(s < 0)).first()
+    return base.sparkSession.createDataFrame([(wins, losses, sign_tail(wins, wins + losses))], "wins bigint, losses bigint, p_value double")
+
+
+def sign_tail(wins: int, n: int) -> float:
+    """P(X >= wins) of a fair binomial of n: the shorter tail, term by term from its largest, until terms no longer count."""
+    lower = 2 * wins <= n
+    k = wins - 1 if lower else wins
+    if k < 0:
+        return 1.0
+    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2))
+    total = 0.0
+    while 0 <= k <= n and term > total * 1e-18:
+        total += term
+        term, k = (term * k / (n - k + 1), k - 1) if lower else (term * (n - k) / (k + 1), k + 1)
+    return 1 - total if lower else total
 
 
 def rank_sum_auc(x: DataFrame, by: str, positive: Column) -> DataFrame:

@@ -159,8 +159,8 @@ def gate_bands(x: DataFrame, bands: list[float]) -> DataFrame:
 
 def two_stage(groups: DataFrame, members: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Group probability times the member's share within the group."""
-    share = F.col("p") / F.sum("p").over(W.partitionBy(*key, "grp"))
-    return members.withColumn("_s", share).join(groups, [*key, "grp"]).withColumn("p", F.col("pg") * F.col("_s")).drop("_s", "pg")
+    whole = F.sum("p").over(W.partitionBy(*key, "grp"))
+    return members.withColumn("_s", whole).join(groups, [*key, "grp"]).withColumn("p", F.col("pg") * F.col("p") / F.col("_s")).drop("_s", "pg")
 
 
 def canonical_restore(x: DataFrame, key: tuple[str, ...]) -> DataFrame:

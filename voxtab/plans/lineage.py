@@ -11,8 +11,11 @@ LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and all tasks run in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder, and executors do not share this machine's")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:

@@ -270,10 +270,10 @@ def mirror_augment(spark, sf_dir):
     return out.select("vec_id", "mirrored", F.get("embedding", F.lit(0)).cast("double").alias("e0"), F.get("embedding", F.lit(1)).cast("double").alias("e1"), "label")
 
 
-@query("WITH e AS (SELECT vec_id, label, embedding, (vec_id // 3) % 5 AS fold, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))) AS nrm FROM embeddings), s AS (SELECT a.vec_id, a.label AS truth, b.vec_id AS other, b.label, list_sum([x.a::DOUBLE * x.b::DOUBLE FOR x IN list_transform(range(1,65), lambda i: struct_pack(a := a.embedding[i], b := b.embedding[i]))]) / (a.nrm*b.nrm) AS sim FROM e a JOIN e b ON a.fold <> b.fold WHERE a.vec_id % 10 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim,9) DESC, other) AS r FROM s WHERE sim > 0), v AS (SELECT vec_id, truth, label, sum(sim*sim) AS w FROM t WHERE r <= 10 GROUP BY 1,2,3) SELECT vec_id, truth, label AS pred, round(w,5) AS w FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(w,9) DESC, label) AS q FROM v) WHERE q = 1")
+@query("WITH e AS (SELECT vec_id, label, embedding, (vec_id // 3) % 5 AS fold, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))) AS nrm FROM embeddings), s AS (SELECT a.vec_id, a.label AS truth, b.vec_id AS other, b.label, list_sum([x.a::DOUBLE * x.b::DOUBLE FOR x IN list_transform(range(1,65), lambda i: struct_pack(a := a.embedding[i], b := b.embedding[i]))]) / (a.nrm*b.nrm) AS sim FROM e a JOIN e b ON a.fold <> b.fold WHERE a.vec_id % 100 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim,9) DESC, other) AS r FROM s WHERE sim > 0), v AS (SELECT vec_id, truth, label, sum(sim*sim) AS w FROM t WHERE r <= 10 GROUP BY 1,2,3) SELECT vec_id, truth, label AS pred, round(w,5) AS w FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(w,9) DESC, label) AS q FROM v) WHERE q = 1")
 def knn_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("fold", F.floor(F.col("vec_id") / 3) % 5)
-    return rounded(K.knn_cosine(e, e.where("vec_id % 10 = 0"), k=10, power=2), 5)
+    return rounded(K.knn_cosine(e, e.where("vec_id % 100 = 0"), k=10, power=2), 5)
 
 
 # ---- junction nodes ----
