@@ -26,7 +26,7 @@ from voxtab.plans.leaders import tasks
 from voxtab.plans.lineage import materialize
 
 #: Rows of a block: at most so many, and not fewer than that for the sake of more tasks.
-MOST, LEAST = 65_536, 4_096
+MOST, LEAST = 65_536, 16_384
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ class Block:
         p = (x @ lines).T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order, 1)
-        # Radii from far below the spread of the vectors to twice their greatest distance from the middle.
+        # Radii from an eighth of the spread of the vectors to twice their greatest distance from the middle.
         far = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
-        low, high = max(far.mean() / 30, 1e-300), max(2.1 * far.max(), 1e-299)
+        low, high = max(far.mean() / 8, 1e-300), max(2.1 * far.max(), 1e-299)
         self.radii = low * ratio ** np.arange(2 + int(np.log(high / low) / np.log(ratio)))
 
     def search(self, qid: int, q: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,7 +92,7 @@ class Block:
         return self.ids[f[best]], d[best], total
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, lines: int = 128, slack: float = 1.0, ratio: float = 1.05, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, lines: int = 128, slack: float = 1.0, ratio: float = 1.08, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score, verified): the k nearest rows found for each query, by Euclidean distance.
 
     is_query: a condition on vec_id; verified: the share of the rows of the found
