@@ -106,8 +106,7 @@ def weak_report(spark, sf_dir):
 
 @query(rsql("SELECT seed, cls, round(avg(value),6) AS value, sum(tp)::BIGINT AS tp, count(DISTINCT cls) FILTER (tp > 0) AS alive FROM runs GROUP BY GROUPING SETS ((cls), (seed), ())"))
 def fold_summary(spark, sf_dir):
-    runs(spark, sf_dir).createOrReplaceTempView("_fold_rows")
-    return rounded(spark.sql("SELECT seed, cls, avg(value) AS value, sum(tp) AS tp, count(DISTINCT CASE WHEN tp > 0 THEN cls END) AS alive FROM _fold_rows GROUP BY GROUPING SETS ((cls), (seed), ())"))
+    return rounded(spark.sql("SELECT seed, cls, avg(value) AS value, sum(tp) AS tp, count(DISTINCT CASE WHEN tp > 0 THEN cls END) AS alive FROM {rows} GROUP BY GROUPING SETS ((cls), (seed), ())", rows=runs(spark, sf_dir)))
 
 
 @query(rsql("SELECT better, ok_mcc, better >= 2 AND ok_mcc AS adopt FROM (SELECT count(*) FILTER (d * dir > 0) AS better, bool_and(d * dir >= 0) FILTER (m = 'tp') AS ok_mcc FROM (SELECT m, dir, avg(v) FILTER (tag='click') - avg(v) FILTER (tag='error') AS d FROM (SELECT tag, m, CASE WHEN m IN ('fp','fn') THEN -1 ELSE 1 END AS dir, v FROM (SELECT tag, tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, value FROM runs) UNPIVOT (v FOR m IN (tp, fp, fn, value))) GROUP BY 1,2))"))
