@@ -52,6 +52,19 @@ def test_periodic_texts(docs):
         assert len(want[1] - got[1]) < 40 and sum(len(got[i] - want[i]) for i in (1, 2)) < 40, period  # of its own, but for the beginning
 
 
+def test_periodic_texts_of_every_period(docs):
+    r = random.Random(5)
+    rows = []
+    for period in range(1, 61):
+        sentence = text_of(r, period).split()
+        for k, n in enumerate((300, 300, 1200)):  # a copy, and one that goes on far longer
+            rows.append((3 * period + k, f"{text_of(r, 20 + k)} {' '.join((sentence * n)[:n])} {text_of(r, 20)}"))
+    got = covered(repeated_passages(docs(rows)).collect())
+    want = brute_cover([(i, 0, t) for i, t in rows])
+    lost = {i: len(c - got.get((i, 0), set())) for (i, _), c in want.items() if i % 3}
+    assert not any(lost.values()), {i: n for i, n in lost.items() if n}
+
+
 def test_tandem_passages_in_many_documents(docs):
     r = random.Random(2)
     p = text_of(r, 60)

@@ -16,7 +16,12 @@
 4. Chains are aligned on the words themselves: gaps by longest common
    subsequence, seeds extended into gaps and beyond both ends while words agree.
    A chain may bridge unrelated text, so every longest stretch of it with at
-   least `min_words` words and `percent` agreement is a passage.
+   least `min_words` words and `percent` agreement is a passage. Only the words
+   beside a chain are fetched at first; where it still agrees near the edge of
+   them, it is aligned again with FURTHER times as many, until it ends. Of chains
+   of one pair that hold a passage already and end (begin) at the same place of the
+   source, the last (first) one in the document goes on: what the others would
+   still find, it finds too.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtab.llm.bitmap import bit_of, has_bits, id_bitmap
@@ -32,8 +38,10 @@ from voxtab.llm.words import _P, mix, same_bits, shingles, word_blocks
 from voxtab.plans.leaders import tasks, with_leaders
 from voxtab.plans.lineage import materialize
 
-#: Words beside a chain that the alignment may extend into, and beside one that spans under 16 words.
-MARGIN, NARROW = 256, 48
+#: Words beside a chain that are fetched first, beside one that spans under 16 words, and how many times more are fetched for one that goes on.
+MARGIN, NARROW, FURTHER = 256, 48, 4
+#: An alignment that ends fewer words than this before the edge of what was fetched goes on.
+EDGE = 8
 #: Chains whose words a task holds as Python objects at a time.
 ALIGNED = 1000
 #: Cost of a skipped word, in words.
@@ -347,30 +355,65 @@ def repeated_passages(docs: DataFrame, k: int = 5, window: int = 16, one_in: int
 
     wanted = linked.select("doc_id").unionByName(linked.select(F.col("src").alias("doc_id")))
     words = materialize(word_arrays(docs, wanted).dropDuplicates(["doc_id", "version"]))
+    todo, out = linked.withColumn("beside", F.when(F.col("x1") - F.col("x0") < 16, NARROW).otherwise(MARGIN)), None
+    while True:
+        aligned = materialize(aligned_chains(todo, words, k, min_words, percent))
+        last, first = W.partitionBy(*PAIR, "y1"), W.partitionBy(*PAIR, "y0")
+        holds = F.size("passages") > 0
+        edge = aligned.where("ahead or behind").withColumn("_last", F.max(F.when(F.col("ahead") & holds, F.col("x1"))).over(last)).withColumn("_first", F.min(F.when(F.col("behind") & holds, F.col("x0"))).over(first))
+        more = ~holds | (F.col("ahead") & (F.col("x1") == F.col("_last"))) | (F.col("behind") & (F.col("x0") == F.col("_first")))
+        edge = materialize(edge.withColumn("_more", more))
+        done = aligned.where("not (ahead or behind)").unionByName(edge.where("not _more").select(*aligned.columns))
+        out = done if out is None else out.unionByName(done)
+        todo = edge.where("_more").withColumn("beside", F.col("beside") * FURTHER).select(*todo.columns)
+        if todo.isEmpty():
+            break
+    return out.select(*PAIR, F.explode("passages").alias("p")).select(
+        "doc_id", "version", "p.start_word", "p.end_word", F.col("src").alias("src_doc_id"), "src_version",
+        F.col("p.src_start").alias("src_start_word"), F.col("p.src_end").alias("src_end_word"), "p.same_words",
+        (F.col("p.same_words") / F.greatest(F.col("p.end_word") - F.col("p.start_word"), F.col("p.src_end") - F.col("p.src_start"))).alias("similarity"),
+    )
+
+
+def aligned_chains(chained: DataFrame, words: DataFrame, k: int, min_words: int, percent: int) -> DataFrame:
+    """Chains (of `chains`, with beside) aligned on `beside` words on either side: their passages, and whether the words agree up to the edge.
+
+    ahead and behind tell that the words behind and before the chain still agree
+    where what was fetched ends, though both texts go on. Chains without passages
+    that touch no edge are left out.
+    """
     part = lambda lo, hi: F.expr(f"substring(words, int(greatest({lo} - beside, 0) * 2 + 1), int(({hi} + beside - greatest({lo} - beside, 0)) * 2))")
-    linked = linked.withColumn("beside", F.when(F.col("x1") - F.col("x0") < 16, NARROW).otherwise(MARGIN))
-    own = linked.join(words, ["doc_id", "version"]).withColumn("a", part("x0", "x1")).drop("words")
+    own = chained.join(words, ["doc_id", "version"]).withColumn("a", part("x0", "x1")).drop("words")
     sources = words.select(F.col("doc_id").alias("src"), F.col("version").alias("src_version"), "words")
     both = own.join(sources, ["src", "src_version"]).withColumn("b", part("y0", "y1")).drop("words")
-    schema = "doc_id bigint, version int, start_word int, end_word int, src_doc_id bigint, src_version int, src_start_word int, src_end_word int, same_words int, similarity double"
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
+    spans = ("start_word", "end_word", "src_start", "src_end", "same_words")
+    names = [*PAIR, "x0", "x1", "y0", "y1", "beside", "xs", "ys"]
+    schema = ", ".join(f"{c} {chained.schema[c].dataType.simpleString()}" for c in names) + f", ahead boolean, behind boolean, passages array<struct<{', '.join(f'{c}: int' for c in spans)}>>"
+    kinds = pa.list_(pa.struct([(c, pa.int32()) for c in spans]))
 
     def run(batches):
         for t in slices(batches, ALIGNED):
-            rows: list[list] = [[] for _ in names]
-            for doc, version, src, src_version, x0, y0, xs, ys, a, b, beside in zip(*[t.column(c).to_pylist() for c in range(11)]):
+            at, ahead, behind, found = [], [], [], []
+            for i, (doc, version, src, src_version, x0, x1, y0, y1, beside, xs, ys, a, b) in enumerate(zip(*[t.column(c).to_pylist() for c in range(13)])):
                 ax, by = max(x0 - beside, 0), max(y0 - beside, 0)
                 a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
                 if len(xs) == 1 and _diagonal(a, b, x0 - ax, y0 - by) * 100 < percent * min_words:
                     continue
                 own = doc == src and version == src_version
-                for lo, hi, slo, shi, same in align(a, b, np.array(xs) - ax, np.array(ys) - by, k, min_words, percent, ax - by if own else None):
-                    for c, v in zip(rows, (doc, version, lo + ax, hi + ax, src, src_version, slo + by, shi + by, same, same / max(hi - lo, shi - slo))):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k_) for c, k_ in zip(rows, kinds)], names=names)
-
-    return both.select(*PAIR, "x0", "y0", "xs", "ys", "a", "b", "beside").mapInArrow(run, schema)
+                xs, ys = np.array(xs) - ax, np.array(ys) - by
+                before, after = len(_extend(a[: xs[0]][::-1], b[: ys[0]][::-1])), len(_extend(a[x1 - ax :], b[y1 - by :]))
+                back = min(x0 - ax, y0 - by) == beside and before + EDGE > beside
+                on = min(len(a) - x1 + ax, len(b) - y1 + by) == beside and after + EDGE > beside
+                got = align(a, b, xs, ys, k, min_words, percent, ax - by if own else None)
+                if got or back or on:
+                    at.append(i)
+                    ahead.append(on)
+                    behind.append(back)
+                    found.append([dict(zip(spans, (lo + ax, hi + ax, slo + by, shi + by, same))) for lo, hi, slo, shi, same in got])
+            kept = t.select(names).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ahead, pa.bool_()), pa.array(behind, pa.bool_()), pa.array(found, kinds)], names=[*names, "ahead", "behind", "passages"])
+
+    return both.select(*names, "a", "b").mapInArrow(run, schema)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
