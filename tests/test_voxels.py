@@ -75,7 +75,7 @@ def test_unknown_criterion_is_an_error(spark):
 
 
 def test_distances_of_an_empty_side(spark):
-    assert M.directed_distances(voxels(spark, [(0, 0, 0)]), voxels(spark, []), 2.0, rounds=2).count() == 0
+    assert M.directed_distances(voxels(spark, [(0, 0, 0)]), voxels(spark, []), 2.0).count() == 0
 
 
 def test_geodesic_goes_round_a_gap(spark):
