@@ -237,10 +237,11 @@ def _diagonal(a: np.ndarray, b: np.ndarray, x: int, y: int) -> int:
     return int((a[:n] == b[:n]).sum())
 
 
-def blocks(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> np.ndarray:
+def blocks(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> tuple[np.ndarray, int, int]:
     """Rows (start, stop, start in b, agreeing words before): runs of equal words along a chain, its gaps and both its sides.
 
     The last column also counts words that agree in gaps, in order, outside any run.
+    The words that the sides before and behind the chain extend over follow.
     """
     rows: list[list[int]] = []
     total = 0
@@ -275,18 +276,18 @@ def blocks(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int)
         if over < k:
             add(sx + over, sy + over, k - over)
         x, y = max(x, sx + k), max(y, sy + k)
-    runs(x, y, _extend(a[x:], b[y:]))
-    return np.array(rows, np.int64)
+    right = _extend(a[x:], b[y:])
+    runs(x, y, right)
+    return np.array(rows, np.int64), len(left), len(right)
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int, min_words: int, percent: int, shift: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, start in b, stop in b, agreeing words) of each longest passage around a chain.
+def passages(rows: np.ndarray, min_words: int, percent: int, shift: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, start in b, stop in b, agreeing words) of each longest passage in the rows of `blocks`.
 
     Passages begin and end with runs of equal words, hold min_words words and agree
     in percent of the longer side, and lie in no longer such passage. With a shift
     (of b's words against a's, in one document) none reaches into its own source.
     """
-    rows = blocks(a, b, xs, ys, k)
     lo, hi, slo, before = rows.T
     if shift is not None:  # a run longer than its distance from its source is cut into parts of that length, the last two of which may overlap
         parts = [(x, min(x + far, h), s + x - l, n + x - l) for l, h, s, n in rows.tolist() if (far := l - s + shift) > 0 for x in (*range(l, h - far, far), max(l, h - far))]
@@ -401,10 +402,10 @@ def aligned_chains(chained: DataFrame, words: DataFrame, k: int, min_words: int,
                     continue
                 own = doc == src and version == src_version
                 xs, ys = np.array(xs) - ax, np.array(ys) - by
-                before, after = len(_extend(a[: xs[0]][::-1], b[: ys[0]][::-1])), len(_extend(a[x1 - ax :], b[y1 - by :]))
+                rows, before, after = blocks(a, b, xs, ys, k)
                 back = min(x0 - ax, y0 - by) == beside and before + EDGE > beside
                 on = min(len(a) - x1 + ax, len(b) - y1 + by) == beside and after + EDGE > beside
-                got = align(a, b, xs, ys, k, min_words, percent, ax - by if own else None)
+                got = passages(rows, min_words, percent, ax - by if own else None)
                 if got or back or on:
                     at.append(i)
                     ahead.append(on)
