@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import langid, quality, toxicity
+from voxtab.llm import langid, oracles, quality, toxicity
 from voxtab.llm.jaccard import jaccard_components
+from voxtab.llm.licenses import license_labels
 from voxtab.llm.linededup import without_repeated_lines
+from voxtab.llm.merkle import manifest
 from voxtab.llm.neighbours import nearest
 from voxtab.llm.packing import pack_documents
 from voxtab.llm.pieces import encode_nbest
+from voxtab.llm.repair import damaged, repair
 from voxtab.llm.substring import repeated_passages
 from voxtab.llm.warc import archive_round_trip
 from voxtab.plans.lineage import materialize
@@ -81,9 +84,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_nbest(_table(spark, sf_dir, "documents"), n_best=3, with_ids=False).drop("ids")  # decoded_md5 is of the text that the ids decode to
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece, "op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"), tampered=_id_crc(2) == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_conversation_repair": op12_conversation_repair, "op13_license_scan": op13_license_scan, "op3_sentencepiece": op3_sentencepiece, "op7_quality_rules": op7_quality_rules, "op9_nearest_neighbours": op9_nearest_neighbours, "op5_line_dedup": op5_line_dedup, "op6_warc": op6_warc, "op1_substring_dedup": op1_substring_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_packing": op2_packing, "op4_language_id": op4_language_id, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_conversation_repair": oracles.REPAIR,
+    "op13_license_scan": oracles.LICENSES,
     "op5_line_dedup": """
         WITH l AS (SELECT doc_id, g AS ln, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
                    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS g FROM documents WHERE text IS NOT NULL)),
