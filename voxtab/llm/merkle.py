@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtab.llm.streams import give_back
 from voxtab.plans.leaders import with_leaders
 from voxtab.plans.lineage import materialize
 from voxtab.plans.totals import running_total
 
-ARITY, LEVELS = 3, 8
+ARITY, LEVELS = 3, 7
 #: Ids of one bitmap, and the most of them that are kept as numbers.
 BITS, FEW = 1 << 16, 1 << 12
 #: The high part that stands for a null doc_id, which comes before all others.
@@ -137,6 +138,7 @@ def placed(ids: DataFrame) -> DataFrame:
         more = np.concatenate([[0], np.cumsum(np.array(e["extra"], np.int64))])
         pos = e["before"] + ranks(e["bits"], low) + more[np.searchsorted(np.array(e["repeated"], np.int64), low)]
         own = own.drop_columns(["high"])
+        give_back()
         return own.append_column("pos", pa.array(pos.astype(np.int64))).append_column("size", pa.array(np.full(len(pos), e["size"], np.int64)))
 
     schema = ", ".join(f"{c} {t}" for c, t in [*ids.dtypes, ("pos", "bigint"), ("size", "bigint")])
@@ -219,18 +221,15 @@ def climb(nodes: DataFrame, levels: int) -> list[DataFrame]:
 PATH = "subroot string, lefts array<string>, rights array<string>"
 
 
-def _ways(levels: list[list[str]]) -> list[tuple[list[str], list[str]]]:
-    """For every slot of the lowest level, the siblings to its left and right at each level."""
-    out = []
-    for i in range(len(levels[0])):
-        lefts, rights = [], []
-        for level in levels[:-1]:
-            lo = i // ARITY * ARITY
-            lefts.append("".join(level[lo:i]))
-            rights.append("".join(level[i + 1 : lo + ARITY]))
-            i //= ARITY
-        out.append((lefts, rights))
-    return out
+def _way(levels: list[list[str]], i: int) -> tuple[list[str], list[str]]:
+    """For slot i of the lowest level, the siblings to its left and right at each level."""
+    lefts, rights = [], []
+    for level in levels[:-1]:
+        lo = i // ARITY * ARITY
+        lefts.append("".join(level[lo:i]))
+        rights.append("".join(level[i + 1 : lo + ARITY]))
+        i //= ARITY
+    return lefts, rights
 
 
 def descend(rounds: list[DataFrame], ways: DataFrame, levels: int) -> DataFrame:
@@ -240,8 +239,8 @@ def descend(rounds: list[DataFrame], ways: DataFrame, levels: int) -> DataFrame:
     def down(own: pa.Table, way: pa.Table) -> pa.Table:
         w = way.to_pylist()[0]
         place, tree = _array(own, levels)
-        inner = _ways(tree)
-        cols = [[w["skey"]] * len(place), own.column("pos").to_pylist(), [w["subroot"]] * len(place), [inner[p][0] + w["lefts"] for p in place], [inner[p][1] + w["rights"] for p in place]]
+        inner = [_way(tree, p) for p in place]
+        cols = [[w["skey"]] * len(place), own.column("pos").to_pylist(), [w["subroot"]] * len(place), [a + w["lefts"] for a, _ in inner], [b + w["rights"] for _, b in inner]]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cols, out)], schema=out)
 
     for nodes in reversed(rounds[1:-1]):
@@ -257,17 +256,18 @@ def prove(nodes: DataFrame, ways: DataFrame, root: str, levels: int) -> DataFram
     def leaf(own: pa.Table, way: pa.Table) -> pa.Table:
         w = way.to_pylist()[0]
         place, tree = _array(own, levels)
-        inner = _ways(tree)
         digests, others = own.column("digest").to_pylist(), own.column("other").to_pylist()
         proofs, folded = [], []
         for p, digest, other in zip(place, digests, others):
-            lefts, rights = inner[p][0] + w["lefts"], inner[p][1] + w["rights"]
+            lefts, rights = _way(tree, p)
+            lefts, rights = lefts + w["lefts"], rights + w["rights"]
             proofs.append(hashlib.sha256("".join(a + b for a, b in zip(lefts, rights)).encode()).hexdigest())
             node = other or digest
             for a, b in zip(lefts, rights):
                 node = hashlib.sha256((a + node + b).encode()).hexdigest()
             folded.append(node)
         n = len(place)
+        give_back()
         cols = [own.column("doc_id").to_pylist(), digests, [w["subroot"]] * n, [root] * n, proofs, folded, [f == root for f in folded]]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cols, kinds)], schema=kinds)
 
@@ -305,8 +305,8 @@ def _ways_of_sources(roots: DataFrame, ways: DataFrame, levels: int) -> DataFram
     def down(own: pa.Table, way: pa.Table) -> pa.Table:
         w = way.to_pylist()[0]
         place, tree = _array(own, levels)
-        inner = _ways(tree)
-        cols = [own.column("source").to_pylist(), [0] * len(place), own.column("digest").to_pylist(), [inner[p][0] + w["lefts"] for p in place], [inner[p][1] + w["rights"] for p in place]]
+        inner = [_way(tree, p) for p in place]
+        cols = [own.column("source").to_pylist(), [0] * len(place), own.column("digest").to_pylist(), [a + w["lefts"] for a, _ in inner], [b + w["rights"] for _, b in inner]]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cols, out)], schema=out)
 
     return materialize(_block(roots, levels).cogroup(ways.withColumn("block", F.col("pos")).groupBy("skey", "block")).applyInArrow(down, f"skey string, pos bigint, {PATH}"))
