@@ -108,7 +108,7 @@ SQL = {
 }
 
 
-def with_tables(body: str, *names: str, recursive: bool = False, **more: str) -> str:
+def with_tables(body: str, /, *names: str, recursive: bool = False, **more: str) -> str:
     """DuckDB SQL: the named tables, further ones, then the body."""
     if "dec" in names and "probs" not in names:
         names = ("probs", *names)
