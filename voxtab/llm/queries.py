@@ -116,11 +116,11 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
     """,
     "op6_warc": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         k AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN top <> page_id THEN top END AS refers_to, payload_digest AS declared_digest,
-               CAST(CASE WHEN top <> page_id OR payload_bytes = 0 THEN 1 ELSE ceil(payload_bytes / 1048576.0) END AS INTEGER) AS chunks
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to, payload_digest AS declared_digest,
+               CAST(CASE WHEN (top IS DISTINCT FROM page_id AND top IS NOT NULL) OR payload_bytes = 0 THEN 1 ELSE ceil(payload_bytes / 1048576.0) END AS INTEGER) AS chunks
         FROM p LEFT JOIN k USING (payload_digest)
     """,
 }

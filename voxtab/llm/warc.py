@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: int, digest: str) -> str:
+def record_id(page_id: int | None, digest: str) -> str:
     """The record id of a page with a payload."""
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{digest}')}>"
 
@@ -44,15 +44,16 @@ def record_types(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, payload_digest, and target: the page that a revisit refers to, else null.
 
     Of equal payloads of at least least_bytes the largest page_id is kept. Rows
-    of that same page_id are all responses; a null html is an empty payload.
+    of that same page_id are all responses, and so are those of a payload that only
+    rows with a null page_id have; a null html is an empty payload.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.where("page_id is not null").select("page_id", "url", "html", F.octet_length(body).cast("bigint").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
+    rows = pages.select("page_id", "url", "html", F.octet_length(body).cast("bigint").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
     large = F.col("payload_bytes") >= least_bytes
     same = rows.where(large).groupBy(F.col("payload_digest").alias("_digest"))
     kept = materialize(same.agg(F.max("page_id").alias("target"), F.count("*").alias("n")))
     found = with_leaders(rows.where(large).withColumn("_digest", F.col("payload_digest")), kept, "_digest")
-    found = found.withColumn("target", F.when(F.col("target") != F.col("page_id"), F.col("target")))
+    found = found.withColumn("target", F.when(~F.col("target").eqNullSafe(F.col("page_id")), F.col("target")))
     return found.unionByName(rows.where(~large).withColumn("target", F.lit(None).cast("bigint")))
 
 
@@ -76,7 +77,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
                     "WARC-Date": date,
                     "WARC-Target-URI": _clean(url),
                     "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
-                    "Page-ID": page,
+                    **({} if page is None else {"Page-ID": page}),
                     "Content-Type": "application/http; msgtype=response",
                     "Content-Length": len(http) + (size if target is None else 0),
                 }
@@ -176,7 +177,7 @@ def read_chunks(manifest: DataFrame, folder: str, chunk_bytes: int = 1 << 20, wi
                         left -= len(x)
                     sha.update(got)
                     total += len(got)
-                    yield head["warc-record-id"], int(head["page-id"]), head["warc-type"], head.get("warc-refers-to"), declared, k, not left, total, sha.hexdigest(), bytes(got) if with_data else None
+                    yield head["warc-record-id"], int(head["page-id"]) if "page-id" in head else None, head["warc-type"], head.get("warc-refers-to"), declared, k, not left, total, sha.hexdigest(), bytes(got) if with_data else None
                     k += 1
                     if not left:
                         break
@@ -204,9 +205,10 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 1000, chunk_bytes: i
     page_id, payload_bytes, payload_digest (as computed while reading; a
     revisit's are those of the record it refers to), record_type, refers_to,
     declared_digest, chunks. Payloads come as chunk rows, whose sizes are held
-    against what the reader counted. Rows with a null page_id are left out; rows
-    that repeat a page_id are records of their own, and have one record id if their
-    payloads agree too; other columns are not read.
+    against what the reader counted. A row with a null page_id has a record without
+    that field, which revisits another one's but is revisited by none; rows that
+    repeat a page_id are records of their own, and have one record id if their
+    payloads agree too; other columns are not read. An empty table gives no records.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
