@@ -119,7 +119,7 @@ def test_archives_round_trip(spark):
     rows = [(1, "http://a/", big), (2, "u\r\nBad: 1", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 999), (9, "u", "y" * 999), (None, "u", "z")]
     p = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r for r in archive_round_trip(p, chunk_bytes=1000).collect()}
-    assert set(got) == set(range(1, 10))
+    assert set(got) == {None, *range(1, 10)} and got[None].record_type == "response"
     import hashlib
 
     for i, _, html in rows[:-1]:
@@ -133,6 +133,19 @@ def test_archives_round_trip(spark):
     assert archive_round_trip(p.where("false")).count() == 0
 
 
+def test_archives_of_odd_pages(spark):
+    import hashlib
+
+    long = "z" * 2_500_000  # over two chunks of the default size
+    rows = [(None, "u", "a" * 1500), (None, "u", "b" * 1500), (7, "u", "b" * 1500), (8, None, "c" * 1500), (8, "v", "c" * 1500), (8, "w", "other"), (9, "u", long), (10, "u", long)]
+    p = spark.createDataFrame([(*r, "x", 1, None) for r in rows], "page_id bigint, url string, html string, payload_digest string, chunks int, target bigint")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.chunks, r.payload_digest) for r in archive_round_trip(p).collect()), key=repr)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(None, 1500, "response", None, 1, sha("a" * 1500)), (None, 1500, "revisit", 7, 1, sha("b" * 1500)), (7, 1500, "response", None, 1, sha("b" * 1500)), (8, 1500, "response", None, 1, sha("c" * 1500)),
+            (8, 1500, "response", None, 1, sha("c" * 1500)), (8, 5, "response", None, 1, sha("other")), (9, 2_500_000, "revisit", 10, 1, sha(long)), (10, 2_500_000, "response", None, 3, sha(long))]
+    assert got == sorted(want, key=repr)
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -189,9 +202,21 @@ def test_rules_reject_junk_of_the_labelled_table(spark):
 
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    judged = op7_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"))
-    lost = {r.quality: r.lost for r in judged.collect()}
-    assert lost[1] <= 0.03 and lost[0] > 0.8  # Spanish has too few labels for cutoffs
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    judged = op7_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").join(langs, "doc_id").groupBy("lang", "quality").agg(F.avg((~F.col("kept")).cast("int")).alias("lost"))
+    lost = {(r.lang, r.quality): r.lost for r in judged.collect()}
+    assert {lang for lang, _ in lost} == {"de", "en", "es", "fr"}
+    for (lang, quality), share in lost.items():  # every language has the labels for cutoffs
+        assert share <= 0.03 if quality else share > 0.75, (lang, quality, share)
+
+
+def test_strata_of_one_class_and_contradictory_labels(spark):
+    rows = labelled_rows(spark, 3000, 5)
+    for good in (True, False):  # without the other class nothing tells rules apart
+        assert quality.choose_cutoffs(rows.where(F.col("good") == good)) == []
+    both = rows.unionByName(rows.withColumn("stratum", F.lit("other")).where("good"))
+    assert {s for s, _, _ in quality.choose_cutoffs(both, risk=0.05)} == {r.stratum for r in rows.select("stratum").distinct().collect()}
+    assert quality.choose_cutoffs(rows.unionByName(rows.withColumn("good", ~F.col("good")))) == []
 
 
 def test_language_of_held_out_texts(spark):

@@ -2,10 +2,12 @@
 
 Every text gets statistics; each rule rejects texts whose statistic exceeds a
 cutoff. Per stratum, half of the labelled rows propose a ladder of joint cutoffs,
-from loose to tight: at each level every rule takes the lowest cutoff that rejects
-no more good rows than its part of the level's budget, if it rejects bad ones ten
-times as readily. The other half, the holdout, tests the levels in that fixed
-order, so they need no correction among themselves: the exact (Clopper-Pearson)
+from loose to tight. Its first levels let in one rule at a time, in the order of the
+bad rows that they reject, with cutoffs MARGIN candidates above the lowest one that
+rejects no good row; then the margins shrink, and at last one rule after another may
+reject a few good rows, up to the risk. Rules that do not reject bad rows ten times as
+readily as good ones stay out. The other half, the holdout, tests the levels in that
+fixed order, so they need no correction among themselves: the exact (Clopper-Pearson)
 upper bound on the share of good texts that a level's rules reject together must
 stay within `risk`, at a confidence divided by the number of strata (Bonferroni). The
 last level before the first failure is taken; a stratum with too few good labels
@@ -29,6 +31,8 @@ from voxtab.llm.words import shingles, word_blocks
 SYMBOLS = "#*$%&|<>"
 #: A rule is used where it rejects bad rows so many times as readily as good ones.
 ODDS = 10
+#: Candidate cutoffs between a rule's first cutoff and the lowest one that rejects no good row.
+MARGIN = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
 _SYMBOL, _UPPER, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(4))
@@ -124,26 +128,47 @@ def _count(cuts: list[float], holds) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: holds(c)))
 
 
-def ladder(over: dict[str, tuple[np.ndarray, np.ndarray]], risk: float, levels: int) -> dict[str, list[float]]:
+def ladder(over: dict[str, tuple[np.ndarray, np.ndarray]], risk: float, margin: int = MARGIN) -> dict[str, list[float]]:
     """Per rule its cutoffs at every level, from loose to tight (infinite where it rejects nothing).
 
-    over: per rule the good and the bad rows with so many cutoffs below their statistic.
+    over: per rule the good and the bad rows with so many cutoffs below their
+    statistic. Every level lowers the cutoff of one rule. Without bad rows, or where
+    no rule tells them from good ones, there are no levels.
     """
-    out = {}
-    for rule, (_, cuts) in rules().items():
-        good, bad = over[rule]
-        beyond = [x.sum() - np.cumsum(x)[:-1] for x in (good, bad)]  # of cutoff i: rows above it
-        share = [x / max(1, n.sum()) for x, n in zip(beyond, (good, bad))]
-        out[rule], held = [], np.inf
-        for level in range(1, levels + 1):
-            fits = (share[0] <= risk * level / levels / len(over)) & (share[1] >= ODDS * (beyond[0] + 1) / (good.sum() + 1))
-            if fits.any():
-                held = min(held, cuts[int(fits.argmax())])
-            out[rule].append(float(held))
+    cuts = {r: c for r, (_, c) in rules().items()}
+    beyond = {r: [x.sum() - np.cumsum(x)[:-1] for x in pair] for r, pair in over.items()}  # good and bad rows above cutoff i
+    good = max((int(pair[0].sum()) for pair in over.values()), default=0)
+    able = {r: b[1] / max(1, over[r][1].sum()) >= ODDS * (b[0] + 1) / (good + 1) for r, b in beyond.items()}
+    now, out, at = {r: np.inf for r in over}, {r: [] for r in over}, {r: len(cuts[r]) for r in over}
+
+    def lower(r: str, i: int) -> None:
+        now[r], at[r] = float(cuts[r][i]), i
+        for k, held in out.items():
+            held.append(now[k])
+
+    def lowest(r: str, allowed: int) -> int | None:
+        fits = np.flatnonzero(able[r] & (beyond[r][0] <= allowed))
+        return int(fits[0]) if len(fits) else None
+
+    gained = lambda r, i: int(beyond[r][1][i]) - (int(beyond[r][1][at[r]]) if at[r] < len(cuts[r]) else 0)
+    clean = {r: i for r in over if (i := lowest(r, 0)) is not None}
+    for step in range(margin, -1, -1):
+        for r in sorted((r for r, i in clean.items() if i + step < len(cuts[r]) and able[r][i + step]), key=lambda r: (-beyond[r][1][clean[r] + step], r)):
+            if clean[r] + step < at[r]:
+                lower(r, clean[r] + step)
+    allowed, left = {r: 0 for r in over}, int(risk * good)
+    while left > 0:
+        found = [(-gained(r, i) / more, more, r, i) for r in over for more in range(1, left + 1) if (i := lowest(r, allowed[r] + more)) is not None and i < at[r] and gained(r, i) > 0]
+        if not found:
+            break
+        _, more, r, i = min(found)
+        allowed[r] += more
+        left -= more
+        lower(r, i)
     return out
 
 
-def choose_cutoffs(labelled: DataFrame, risk: float = 0.03, delta: float = 0.05, levels: int = 20) -> list[tuple[str, str, float]]:
+def choose_cutoffs(labelled: DataFrame, risk: float = 0.03, delta: float = 0.05) -> list[tuple[str, str, float]]:
     """(stratum, rule, cutoff) from labelled rows with doc_id, COUNTS, stratum and good (boolean).
 
     Rows are dealt to the two halves by a hash of doc_id. Only counts per stratum,
@@ -160,7 +185,12 @@ def choose_cutoffs(labelled: DataFrame, risk: float = 0.03, delta: float = 0.05,
         over[r["rule"]][0 if r["good"] else 1][r["bin"]] += r["n"]
     if not counts:
         return []
-    ladders = {s: ladder(over, risk, levels) for s, over in sorted(counts.items())}
+    ladders = {s: ladder(over, risk) for s, over in sorted(counts.items())}
+    levels = max(len(next(iter(steps.values()))) for steps in ladders.values())
+    ladders = {s: {r: held + held[-1:] * (levels - len(held)) for r, held in steps.items()} for s, steps in ladders.items()}
+    ladders = {s: steps for s, steps in ladders.items() if steps and len(next(iter(steps.values()))) == levels > 0}
+    if not ladders:
+        return []
     # The first level that rejects a row: levels whose cutoff its statistic does not exceed come before it.
     first = []
     for rule, (stat, _) in table.items():
