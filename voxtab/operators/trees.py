@@ -51,7 +51,8 @@ def binned(rows: DataFrame, features: str, dims: int, bins: int = BINS) -> DataF
 
     def one(d: int):
         width = (high[d] - low[d]) / bins
-        return F.coalesce(F.least(F.floor((x[d] - low[d]) / width), F.lit(bins - 1)).cast("int"), F.lit(0)) if width > 0 else F.lit(0)
+        at = F.least(F.floor((x[d] - low[d]) / width), F.lit(bins - 1)).cast("int")
+        return F.when(x[d].isNotNull(), at).otherwise(0) if width > 0 else F.lit(0)
 
     return rows.withColumn("bins", F.array(*[one(d) for d in range(dims)])).drop(features)
 

@@ -18,7 +18,7 @@ BINNED = {
     "e": "SELECT id, 0 AS copy, fold, label, x FROM o UNION ALL SELECT id, 1, fold, CASE WHEN label < 8 THEN xor(label, 1) ELSE label END, [x[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END] FOR i IN range(1, 65)] FROM o",
     "f": "SELECT id, copy, CAST(d AS INT) AS d, x[d] AS v FROM e, range(1, 65) t(d)",
     "w": "SELECT d, min(v) AS lo, (max(v) - min(v)) / 16 AS width FROM f GROUP BY 1",
-    "b": "SELECT id, copy, d - 1 AS d, CAST(CASE WHEN width > 0 THEN least(floor((v - lo) / width), 15) ELSE 0 END AS INT) AS bin FROM f JOIN w USING (d)",
+    "b": "SELECT id, copy, d - 1 AS d, CAST(CASE WHEN width > 0 AND v IS NOT NULL THEN least(floor((v - lo) / width), 15) ELSE 0 END AS INT) AS bin FROM f JOIN w USING (d)",
     "k": "SELECT m.m, label, count(*) AS n FROM e, range(5) m(m) WHERE fold <> m.m GROUP BY 1, 2",
 }
 
