@@ -78,6 +78,25 @@ def test_distances_of_an_empty_side(spark):
     assert M.directed_distances(voxels(spark, [(0, 0, 0)]), voxels(spark, []), 2.0).count() == 0
 
 
+def test_surface_distance_and_its_conventions(spark):
+    cube = [(x, y, z) for x in range(5) for y in range(5) for z in range(5)]
+    far = [(x + 1, y, z) for x, y, z in cube]
+    rows = [(1, *p) for p in cube] + [(2, 0, 0, 0)], [(1, *p) for p in far] + [(3, 0, 0, 0)]
+    a, b = (spark.createDataFrame(r, "case_id int, i int, j int, k int") for r in rows)
+    groups = spark.createDataFrame([(1,), (2,), (3,), (4,)], "case_id int")
+    got = {r.case_id: r.hd for r in M.surface_distance(a, b, groups, (3, 4, 0)).collect()}
+    assert got == {1: 1 / 5, 2: 1.0, 3: 1.0, 4: 0.0}
+
+
+def test_distance_to_class_voxels_outside(spark):
+    from voxtab.operators.lesions import distance_table
+
+    comps = spark.createDataFrame([(1, 7, x, 0, 0) for x in range(3)], "case_id int, comp_id int, i int, j int, k int")
+    labels = spark.createDataFrame([(1, 0, 0, 0, 1), (1, 1, 1, 0, 1), (1, 2, 0, 0, 2), (1, 4, 0, 0, 3), (1, 9, 0, 0, 4)], "case_id int, i int, j int, k int, cls int")
+    got = {r.cls: r.dist for r in distance_table(comps, labels, 2.5, (1.0, 1.0, 1.0)).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 2.0}  # one step away; wholly under the lesion; two steps; out of reach
+
+
 def test_geodesic_goes_round_a_gap(spark):
     # A U of voxels: the straight way between its tips is empty.
     path = [(0, y, 0) for y in range(5)] + [(x, 4, 0) for x in range(1, 5)] + [(4, y, 0) for y in range(3, -1, -1)]

@@ -130,7 +130,7 @@ PLACES = {
     "les": "SELECT DISTINCT case_id, comp_id, i // 4 AS i, j, k FROM comp SEMI JOIN big USING (case_id, comp_id)",
     "centre": "SELECT case_id, comp_id, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM les GROUP BY 1, 2",
     "snapped": f"SELECT case_id, comp_id, i, j, k, u FROM (SELECT c.case_id, c.comp_id, c.i, c.j, c.k, l.id AS u, row_number() OVER (PARTITION BY c.case_id, c.comp_id ORDER BY round(sqrt({_mm2('c.', 'l.')}), 9), l.id) AS r FROM centre c JOIN line l ON l.case_id = c.case_id WHERE sqrt({_mm2('c.', 'l.')}) <= {SNAP_MM} + 1e-9) WHERE r = 1",
-    "seen": f"SELECT c.case_id, c.comp_id, l.cls, min(sqrt({_mm2('c.', 'l.')})) AS d FROM les c JOIN line l ON l.case_id = c.case_id WHERE sqrt({_mm2('c.', 'l.')}) <= {SNAP_MM} + 1e-9 GROUP BY 1, 2, 3",
+    "seen": f"SELECT case_id, comp_id, cls, coalesce(min(d) FILTER (d > 0), 0) AS d FROM (SELECT c.case_id, c.comp_id, l.cls, l.id, min(sqrt({_mm2('c.', 'l.')})) AS d FROM les c JOIN line l ON l.case_id = c.case_id WHERE sqrt({_mm2('c.', 'l.')}) <= {SNAP_MM} + 1e-9 GROUP BY ALL) GROUP BY 1, 2, 3",
     "under": "SELECT c.case_id, c.comp_id, l.cls, count(*) AS n FROM les c JOIN line l USING (case_id, i, j, k) GROUP BY 1, 2, 3",
     "own": "SELECT case_id, comp_id, cls FROM (SELECT *, row_number() OVER (PARTITION BY case_id, comp_id ORDER BY kind, s, cls) AS r FROM (SELECT case_id, comp_id, cls, 0 AS kind, -n::DOUBLE AS s FROM under UNION ALL SELECT case_id, comp_id, cls, 1, round(d, 9) FROM seen)) WHERE r = 1",
     "place": "SELECT s.*, o.cls FROM snapped s LEFT JOIN own o USING (case_id, comp_id)",

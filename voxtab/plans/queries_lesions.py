@@ -13,7 +13,7 @@ from voxtab.plans.registry import query, rounded
 from voxtab.sources.fixtures import SPACING, intensity, vox, with_tables
 
 OV = {"ovl": "SELECT c.case_id, c.comp_id, v.cls, count(*) AS n FROM comp c JOIN vox v USING (case_id,i,j,k) WHERE v.layer='A' GROUP BY 1,2,3"}
-DI = {"dis": f"SELECT c.case_id, c.comp_id, v.cls, min({dist_sql('c', 'v')}) AS dist FROM comp c JOIN vox v ON v.layer='A' AND v.case_id=c.case_id AND abs(c.i-v.i)<=2 AND abs(c.j-v.j)<=2 AND abs(c.k-v.k)<=1 WHERE {dist_sql('c', 'v')} <= 0.9 GROUP BY 1,2,3"}
+DI = {"dis": f"SELECT case_id, comp_id, cls, coalesce(min(d) FILTER (d > 0), 0) AS dist FROM (SELECT c.case_id, c.comp_id, v.cls, v.i, v.j, v.k, min({dist_sql('c', 'v')}) AS d FROM comp c JOIN vox v ON v.layer='A' AND v.case_id=c.case_id AND abs(c.i-v.i)<=2 AND abs(c.j-v.j)<=2 AND abs(c.k-v.k)<=1 WHERE {dist_sql('c', 'v')} <= 0.9 GROUP BY ALL) GROUP BY 1,2,3"}
 
 
 def tables(spark, sf_dir):

@@ -353,12 +353,31 @@ def grow_volume(spark, sf_dir):
     return out.select("case_id", *[F.col(a).cast("bigint").alias(a) for a in AXES], "cls")
 
 
-@query(sql("SELECT s.case_id, round(greatest(quantile_cont(d1, 0.95), max(m2)), 6) AS hd95 FROM (SELECT a.case_id, a.i, a.j, a.k, min(sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)+(a.k-b.k)*(a.k-b.k))) AS d1 FROM vox a JOIN vox b ON a.case_id=b.case_id WHERE a.layer='N' AND b.layer='R' GROUP BY 1,2,3,4) s JOIN (SELECT case_id, quantile_cont(d2, 0.95) AS m2 FROM (SELECT a.case_id, a.i, a.j, a.k, min(sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)+(a.k-b.k)*(a.k-b.k))) AS d2 FROM vox a JOIN vox b ON a.case_id=b.case_id WHERE a.layer='R' AND b.layer='N' GROUP BY 1,2,3,4) GROUP BY 1) t USING (case_id) GROUP BY 1"))
+#: Steps along each axis of a volume.
+SHAPE = (50, 11, 9)
+
+
+def _surface_sql(layer: str) -> str:
+    return f"SELECT v.* FROM vox v WHERE layer = '{layer}' AND (SELECT count(*) FROM vox o WHERE o.layer = v.layer AND o.case_id = v.case_id AND o.cls = v.cls AND abs(o.i-v.i) + abs(o.j-v.j) + abs(o.k-v.k) = 1) < 6"
+
+
+def _directed_sql(a: str, b: str) -> str:
+    return f"SELECT case_id, cls, quantile_cont(d, 0.95) AS q FROM (SELECT a.case_id, a.cls, min(sqrt((a.i-b.i)*(a.i-b.i)+(a.j-b.j)*(a.j-b.j)+(a.k-b.k)*(a.k-b.k))) AS d FROM {a} a JOIN {b} b USING (case_id, cls) GROUP BY a.case_id, a.cls, a.i, a.j, a.k) GROUP BY 1, 2"
+
+
+@query(
+    sql(
+        f"SELECT g.case_id, g.cls, round(CASE WHEN a.cls IS NULL AND b.cls IS NULL THEN 0 WHEN a.cls IS NULL OR b.cls IS NULL THEN 1 ELSE greatest(p.q, r.q) / sqrt({SHAPE[0] ** 2 + SHAPE[1] ** 2 + SHAPE[2] ** 2}) END, 6)::DOUBLE AS hd95 FROM (SELECT DISTINCT case_id, CAST(c AS INT) AS cls FROM vox, range(1, 9) t(c)) g"
+        " LEFT JOIN (SELECT DISTINCT case_id, cls FROM sn) a USING (case_id, cls) LEFT JOIN (SELECT DISTINCT case_id, cls FROM sr) b USING (case_id, cls) LEFT JOIN p USING (case_id, cls) LEFT JOIN r USING (case_id, cls)",
+        sn=_surface_sql("N"), sr=_surface_sql("R"), p=_directed_sql("sn", "sr"), r=_directed_sql("sr", "sn"),
+    )
+)
 def hd95(spark, sf_dir):
-    a, b = vox(spark, sf_dir, "N"), vox(spark, sf_dir, "R")
-    side = lambda x, y, n: M.directed_distances(x, y, 3.0).groupBy("case_id").agg(F.percentile("d", F.lit(0.95)).alias(n))
-    both = side(a, b, "p").join(side(b, a, "q"), "case_id")
-    return rounded(both.select("case_id", F.greatest("p", "q").alias("hd95")))
+    """DST3: per case and class (8 is one that no volume has), between the surfaces of truth and prediction."""
+    v = vox(spark, sf_dir)
+    groups = v.select("case_id").distinct().withColumn("cls", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    side = lambda n: v.where(F.col("layer") == n).select("case_id", "cls", *AXES)
+    return rounded(M.surface_distance(side("N"), side("R"), groups, SHAPE, by=("case_id", "cls")).withColumnRenamed("hd", "hd95"))
 
 
 @query(sql("SELECT case_id, i, j, k, count(DISTINCT layer) AS votes FROM vox GROUP BY 1,2,3,4 HAVING count(DISTINCT layer) >= 2"))
