@@ -9,7 +9,8 @@ from voxtab.plans.registry import query, rounded
 from voxtab.sources.fixtures import decisions, nodes, probs, table, vox, with_tables
 from voxtab.streaming.leaderboard import stream_leaderboard as board_of_stream
 
-DIMS = 16
+#: Components of a vector; all are read.
+DIMS = 64
 #: DuckDB: embeddings with their fold, the components as doubles, and one row per component.
 E = "SELECT vec_id, CAST(label AS INT) AS label, (vec_id // 3) % 5 AS fold, [v::DOUBLE FOR v IN embedding] AS x FROM embeddings"
 LONG = "SELECT {by} vec_id, label, fold, d, x[d] AS v FROM {src}, range(1, {top}) t(d)"
@@ -31,17 +32,17 @@ def embedded(spark, sf_dir):
 @query(esql("SELECT vec_id, label, pred FROM near WHERE r = 1"))
 def oof_class_mean(spark, sf_dir):
     """EXP2: each row is predicted by class means of the other folds."""
-    e = embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, DIMS))
+    e = embedded(spark, sf_dir)
     return L.nearest_mean(e, L.means_without_fold(e, [], DIMS), []).select("vec_id", "label", "pred")
 
 
-BLOCKS = {"first": (0, 8), "second": (8, 16), "both": (0, 16)}
+BLOCKS = {"first": (0, 32), "second": (32, 64), "both": (0, 64)}
 
 
 @query(
     esql(
         "SELECT block, count(*) AS n, sum((pred = label)::INT)::BIGINT AS hits FROM near WHERE r = 1 GROUP BY 1", by="block, ", on="AND l.block = m.block", src="b",
-        b="SELECT e.vec_id, e.label, e.fold, k.block, list_concat(e.x[k.lo:k.hi], [0.0::DOUBLE FOR i IN range(16 - (k.hi - k.lo + 1))]) AS x FROM e, (VALUES ('first', 1, 8), ('second', 9, 16), ('both', 1, 16)) k(block, lo, hi)",
+        b="SELECT e.vec_id, e.label, e.fold, k.block, list_concat(e.x[k.lo:k.hi], [0.0::DOUBLE FOR i IN range(64 - (k.hi - k.lo + 1))]) AS x FROM e, (VALUES ('first', 1, 32), ('second', 33, 64), ('both', 1, 64)) k(block, lo, hi)",
     )
 )
 def ablation_grid(spark, sf_dir):
@@ -53,15 +54,15 @@ def ablation_grid(spark, sf_dir):
 
 @query(
     esql(
-        "SELECT draw, count(*) AS n, sum((pred = label)::INT)::BIGINT AS hits FROM near WHERE r = 1 GROUP BY 1", by="draw, ", on="AND l.draw = m.draw", src="b", top=9,
+        "SELECT draw, count(*) AS n, sum((pred = label)::INT)::BIGINT AS hits FROM near WHERE r = 1 GROUP BY 1", by="draw, ", on="AND l.draw = m.draw", src="b",
         b="SELECT e.*, t.draw FROM e, range(0, 10) t(draw) WHERE (e.vec_id * 7919 + t.draw * 104729 + e.vec_id * t.draw * 31) % 100 >= 5",
     )
 )
 def noise_floor(spark, sf_dir):
     """EXP12: out-of-fold hits in draws that leave about one row in twenty out."""
     turn = (F.col("vec_id") * 7919 + F.col("draw") * 104729 + F.col("vec_id") * F.col("draw") * 31) % 100
-    e = embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, 8)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).where(turn >= 5)
-    pred = L.nearest_mean(e, L.means_without_fold(e, ["draw"], 8), ["draw"])
+    e = embedded(spark, sf_dir).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).where(turn >= 5)
+    pred = L.nearest_mean(e, L.means_without_fold(e, ["draw"], DIMS), ["draw"])
     return pred.groupBy("draw").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("hits"))
 
 
@@ -76,25 +77,25 @@ def mahalanobis_proba(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT vec_id, [1/(1+abs(v::DOUBLE)*10) FOR v IN embedding[1:6]] AS a, [abs(v::DOUBLE) FOR v IN embedding[7:12]] AS o, [abs(v::DOUBLE)*20 FOR v IN embedding[13:18]] AS n FROM embeddings),"
+    "WITH b AS (SELECT vec_id, [1/(1+abs(v::DOUBLE)*10) FOR v IN embedding[1:24]] AS a, [abs(v::DOUBLE) FOR v IN embedding[25:44]] AS o, [abs(v::DOUBLE)*20 FOR v IN embedding[45:64]] AS n FROM embeddings),"
     " c AS (SELECT vec_id, a, [CASE WHEN list_sum(o) > 0 THEN v/list_sum(o) ELSE 0.0 END FOR v IN o] AS o, [CASE WHEN v <= 2 THEN exp(-v) ELSE 0.0 END FOR v IN n] AS n FROM b),"
     " u AS (SELECT vec_id, sqrt(list_sum([v*v FOR v IN a])) AS ua, sqrt(list_sum([v*v FOR v IN o])) AS uo, sqrt(list_sum([v*v FOR v IN n])) AS un, a, o, n FROM c)"
     " SELECT vec_id, list_concat([round(CASE WHEN ua > 0 THEN v/ua ELSE v END, 5) FOR v IN a], [round(CASE WHEN uo > 0 THEN v/uo ELSE v END * 0.5, 5) FOR v IN o], [round(CASE WHEN un > 0 THEN v/un ELSE v END * 0.25, 5) FOR v IN n]) AS vec FROM u"
 )
 def vectorise_blocks(spark, sf_dir):
-    """FEA2, mode sharp: the first components stand for distances, the next for overlaps and for distances from junctions."""
-    part = lambda lo, times: F.transform(F.slice("x", lo, 6), lambda v: F.abs(v) * times)
-    vec = L.vectorise(part(1, 10.0), part(7, 1.0), part(13, 20.0), "sharp", 2.0, (1.0, 0.5, 0.25))
+    """FEA2, mode sharp: the first 24 components stand for distances, 20 for overlaps and 20 for distances from junctions."""
+    part = lambda lo, n, times: F.transform(F.slice("x", lo, n), lambda v: F.abs(v) * times)
+    vec = L.vectorise(part(1, 24, 10.0), part(25, 20, 1.0), part(45, 20, 20.0), "sharp", 2.0, (1.0, 0.5, 0.25))
     return embedded(spark, sf_dir).select("vec_id", F.transform(vec, lambda v: F.round(v, 5)).alias("vec"))
 
 
-@query("WITH e AS (SELECT vec_id, CAST(label AS INT) AS label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), r AS (SELECT label FROM e GROUP BY 1 HAVING count(*) * 10 < (SELECT count(*) FROM e)), n AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM e JOIN r USING (label) WINDOW w AS (PARTITION BY label, vec_id // 4096 ORDER BY vec_id)) SELECT vec_id, label, round(a + (na - a) * 0.3, 6) AS a, round(b + (nb - b) * 0.3, 6) AS b FROM n WHERE na IS NOT NULL")
+@query("WITH e AS (SELECT vec_id, CAST(label AS INT) AS label, [v::DOUBLE FOR v IN embedding] AS x FROM embeddings), r AS (SELECT label FROM e GROUP BY 1 HAVING count(*) * 10 < (SELECT count(*) FROM e)), n AS (SELECT *, lead(x) OVER w AS nx FROM e JOIN r USING (label) WINDOW w AS (PARTITION BY label, vec_id // 4096 ORDER BY vec_id)) SELECT vec_id, label, [round(x[d] + (nx[d] - x[d]) * 0.3, 6) FOR d IN range(1, 65)] AS x FROM n WHERE nx IS NOT NULL")
 def minority_interpolation(spark, sf_dir):
     """FEA16: between rows of labels that hold less than a tenth of all rows."""
-    e = embedded(spark, sf_dir).withColumn("x", F.slice("x", 1, 2))
+    e = embedded(spark, sf_dir)
     sizes = e.groupBy("label").agg(F.count("*").alias("n"))
     rare = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all")))).where("n * 10 < all").select("label")
-    return rounded(L.interpolated_rows(e, rare, 0.3).select("vec_id", "label", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b")))
+    return L.interpolated_rows(e, rare, 0.3).select("vec_id", "label", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
 PRESENCE = "SELECT k.share, k.draw, k.case_id, c.cls, max(coalesce(k.truth = c.cls, false)::INT) AS t, max(coalesce(k.q = c.cls, false)::INT) AS p FROM k, unnest([x FOR x IN list_distinct([k.truth, k.q]) IF x IS NOT NULL AND x >= 0]) c(cls) GROUP BY 1, 2, 3, 4"
