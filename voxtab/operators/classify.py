@@ -21,6 +21,20 @@ def lookup_backoff(rows: DataFrame, train: DataFrame, signature: str, usable: Co
     return y.withColumn("pred_rule", F.coalesce(F.when(usable, F.col("_s")), F.col("_g"))).drop("_s", "_g")
 
 
+def lookup_levels(rows: DataFrame, train: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """Adds pred_rule and level: the majority truth of the first of the levels (lists of columns) whose values the training rows know, at last of all training rows.
+
+    Null values match nothing; without training rows pred_rule is null.
+    """
+    y = rows
+    for n, keys in enumerate(levels):
+        y = y.join(_majority(train, keys).withColumnRenamed("best", f"_l{n}"), keys, "left")
+    overall = _majority(train.withColumn("_one", F.lit(1)), ["_one"]).select(F.lit(1).alias("_one"), F.col("best").alias("_g"))
+    y = y.withColumn("_one", F.lit(1)).join(F.broadcast(overall), "_one", "left")
+    at = F.coalesce(*[F.when(F.col(f"_l{n}").isNotNull(), n) for n in range(len(levels))], F.lit(len(levels)))
+    return y.select(*rows.columns, F.coalesce(*[F.col(f"_l{n}") for n in range(len(levels))], F.col("_g")).alias("pred_rule"), at.alias("level"))
+
+
 def leave_one_out(rows: DataFrame, signature: str) -> DataFrame:
     """(signature, acc, n): accuracy of the majority rule with each row left out, from counts less one."""
     n = rows.groupBy(signature, "truth").agg(F.count("*").alias("n"))

@@ -6,10 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtab.operators import classify as K
+from voxtab.operators import learning as L
 from voxtab.operators import probability as P
 from voxtab.operators import scoring as S
+from voxtab.plans.queries_learning import embedded
 from voxtab.plans.registry import query, rounded
-from voxtab.sources.fixtures import decisions, nodes, probs, table, with_tables
+from voxtab.sources.fixtures import SQL, decisions, nodes, probs, table, vox, with_tables
 
 KEY = ("lesion", "seed")
 
@@ -100,10 +102,15 @@ def assign_unique(spark, sf_dir):
     return out.select("case_id", "seed", F.sort_array(F.transform("picks", lambda x: x["lesion"] * 100 + x["cls"])).alias("picks"))
 
 
-@query(psql("SELECT lesion, seed, cls, round(CASE WHEN cls IN (2,3) THEN g * e ELSE p END, 6) AS p FROM (SELECT *, sum(p) FILTER (cls IN (2,3)) OVER (PARTITION BY lesion, seed) AS g, CASE WHEN cls = 2 THEN 0.25 ELSE 0.75 END AS e FROM probs)"))
+@query(psql("SELECT lesion, seed, cls, round(CASE WHEN cls IN (2,3) THEN g * e ELSE p END, 6) AS p FROM (SELECT a.lesion, a.seed, a.cls, a.p, sum(a.p) FILTER (a.cls IN (2,3)) OVER (PARTITION BY a.lesion, a.seed) AS g, x.p / sum(x.p) FILTER (x.cls IN (2,3)) OVER (PARTITION BY a.lesion, a.seed) AS e FROM probs a JOIN probs x ON x.lesion = a.lesion AND x.cls = a.cls AND x.seed = (a.seed + 1) % 3)"))
 def redistribute(spark, sf_dir):
-    expert = F.when(F.col("cls") == 2, 0.25).otherwise(0.75)
-    return rounded(P.redistribute(probs(spark, sf_dir), F.col("cls").isin(2, 3), expert, KEY).select(*KEY, "cls", "p"))
+    """PRB10: inside one group of classes, by the shares that another model (the next seed's) gives there."""
+    p = probs(spark, sf_dir)
+    expert = p.select("lesion", "cls", ((F.col("seed") + 2) % 3).alias("seed"), F.col("p").alias("_e"))
+    inside = F.col("cls").isin(2, 3)
+    share = F.col("_e") / F.sum(F.when(inside, F.col("_e"))).over(W.partitionBy(*KEY))
+    y = p.join(expert, [*KEY, "cls"]).withColumn("_share", share)
+    return rounded(P.redistribute(y, inside, F.col("_share"), KEY).select(*KEY, "cls", "p"))
 
 
 @query(psql("SELECT lesion, seed, c1, c2, (c1 < 8 AND c2 < 8 AND c1 // 2 = c2 // 2) AND p2 / p1 > 0.5 AND p2 > 0.1 AND (n2 <= 60) AS emit FROM (SELECT lesion, seed, max(cls) FILTER (r=1) AS c1, max(cls) FILTER (r=2) AS c2, max(p) FILTER (r=1) AS p1, max(p) FILTER (r=2) AS p2 FROM ranked GROUP BY 1,2) JOIN (SELECT truth AS c2, count(DISTINCT lesion) AS n2 FROM probs GROUP BY 1) USING (c2)", ranked="SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY round(p,9) DESC, cls) AS r FROM probs"))
@@ -117,9 +124,21 @@ def emit_rare(spark, sf_dir):
     return r.join(F.broadcast(prior(spark, sf_dir).where("n < 50").select("cls")), "cls").select(*KEY, "cls", "rk")
 
 
-@query(psql("SELECT lesion, seed, cls FROM (SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY CASE WHEN (lesion % 5 = cls % 5) THEN 0 ELSE round(p,9) END DESC, cls) AS r FROM probs) WHERE r = 1"))
+@query(
+    psql(
+        "SELECT lesion, seed, cls FROM (SELECT p.*, row_number() OVER (PARTITION BY p.lesion, p.seed ORDER BY CASE WHEN f.cls IS NOT NULL THEN 0 ELSE round(p.p,9) END DESC, p.cls) AS r FROM probs p LEFT JOIN forbidden f ON f.case_id = p.case_id AND f.cls = p.cls) WHERE r = 1",
+        vox=SQL["vox"],
+        there="SELECT case_id, cls, count(*) AS n FROM vox WHERE layer = 'A' GROUP BY 1, 2",
+        forbidden="SELECT c.case_id, k.cls FROM (SELECT case_id, sum(n) AS n FROM there GROUP BY 1) c CROSS JOIN (SELECT CAST(x AS INT) AS cls FROM range(1, 8) t(x)) k LEFT JOIN there t ON t.case_id = c.case_id AND t.cls = k.cls WHERE coalesce(t.n, 0) * 10 < c.n",
+    )
+)
 def veto_rules(spark, sf_dir):
-    return P.veto(probs(spark, sf_dir), F.col("lesion") % 5 == F.col("cls") % 5, KEY).select(*KEY, "cls")
+    """PRB16: a class whose branch is absent from its case's vessels, or holds less than a tenth of them, is forbidden; cases without vessels forbid nothing."""
+    there = vox(spark, sf_dir, "A").groupBy("case_id").pivot("cls", list(range(1, 8))).agg(F.count("cls"))
+    each = there.select("case_id", F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.coalesce(F.col(str(c)), F.lit(0)).alias("n")) for c in range(1, 8)])).alias("b"), sum(F.coalesce(F.col(str(c)), F.lit(0)) for c in range(1, 8)).alias("all"))
+    forbidden = each.where(F.col("b.n") * 10 < F.col("all")).select("case_id", "b.cls", F.lit(True).alias("_no"))
+    p = probs(spark, sf_dir).join(forbidden, ["case_id", "cls"], "left")
+    return P.veto(p, F.coalesce("_no", F.lit(False)), KEY).select(*KEY, "cls")
 
 
 @query(psql("SELECT m.lesion, m.truth, m.pred, round(t.pt,6) AS p_truth, round(u.pp,6) AS p_pred FROM (SELECT lesion, truth, mode_pred AS pred FROM (SELECT lesion, truth, cls AS mode_pred, count(*) AS c, row_number() OVER (PARTITION BY lesion ORDER BY count(*) DESC, cls) AS r FROM (SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY round(p,9) DESC, cls) AS rk FROM probs) WHERE rk=1 GROUP BY 1,2,3) WHERE r=1 AND c >= 2) m JOIN (SELECT lesion, cls, avg(p) AS pt FROM probs GROUP BY 1,2) t ON t.lesion=m.lesion AND t.cls=m.truth JOIN (SELECT lesion, cls, avg(p) AS pp FROM probs GROUP BY 1,2) u ON u.lesion=m.lesion AND u.cls=m.pred WHERE m.pred <> m.truth AND t.pt < 0.15 AND u.pp > 0.1"))
@@ -153,12 +172,26 @@ def canonical_restore(spark, sf_dir):
     return P.canonical_restore(probs(spark, sf_dir), KEY)
 
 
-@query(psql("SELECT lesion, seed, CASE WHEN c1 // 2 = c2 // 2 AND c1 < 8 AND lesion % 4 = 0 THEN c2 ELSE c1 END AS cls FROM (SELECT lesion, seed, max(cls) FILTER (rk=1) AS c1, max(cls) FILTER (rk=2) AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY round(p,9) DESC, cls) AS rk FROM probs) GROUP BY 1,2)"))
+@query(
+    psql(
+        "SELECT t.lesion, t.seed, CASE WHEN t.c1 // 2 = t.c2 // 2 AND t.c1 < 8 AND b.d < a.d THEN t.c2 ELSE t.c1 END AS cls FROM top t LEFT JOIN far a ON a.vec_id = t.lesion AND a.cls = t.c1 LEFT JOIN far b ON b.vec_id = t.lesion AND b.cls = t.c2",
+        top="SELECT lesion, seed, max(cls) FILTER (rk=1) AS c1, max(cls) FILTER (rk=2) AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY round(p,9) DESC, cls) AS rk FROM probs) GROUP BY 1,2",
+        long="SELECT vec_id, label, (vec_id // 3) % 5 AS fold, d, embedding[d]::DOUBLE AS v FROM embeddings, range(1, 65) t(d)",
+        means="SELECT f.fold, m.label AS cls, m.d, sum(m.v) FILTER (m.fold <> f.fold) / count(*) FILTER (m.fold <> f.fold) AS mean FROM long m, (SELECT DISTINCT fold FROM long) f GROUP BY ALL",
+        far="SELECT l.vec_id, m.cls, round(sum((l.v - m.mean) * (l.v - m.mean)), 9) AS d FROM long l JOIN means m ON m.fold = l.fold AND m.d = l.d GROUP BY 1, 2",
+    )
+)
 def pair_override(spark, sf_dir):
+    """CLF10: for two leading classes of one family, a specialist: the nearer of their class means over the other folds."""
     top = P.top_two(probs(spark, sf_dir), KEY)
+    e = embedded(spark, sf_dir)
+    means = L.means_without_fold(e, [], 64)
+    far = F.map_from_entries(F.transform("means", lambda m: F.struct(m["label"], F.round(L.squared(F.col("x"), m["mean"]), 9))))
+    near = e.join(F.broadcast(means), "fold").select(F.col("vec_id").alias("lesion"), far.alias("far"))
     confused = (F.floor(F.col("c1") / 2) == F.floor(F.col("c2") / 2)) & (F.col("c1") < 8)
-    specialist = F.when(F.col("lesion") % 4 == 0, F.col("c2")).otherwise(F.col("c1"))
-    return top.select(*KEY, F.when(confused, specialist).otherwise(F.col("c1")).alias("cls"))
+    swap = F.coalesce(F.get("_f", F.lit(1)) < F.get("_f", F.lit(0)), F.lit(False))
+    y = top.join(near, "lesion", "left").withColumn("_f", F.array(F.try_element_at("far", F.col("c1").cast("int")), F.try_element_at("far", F.col("c2").cast("int"))))
+    return y.select(*KEY, F.when(confused & swap, F.col("c2")).otherwise(F.col("c1")).alias("cls"))
 
 
 @query(psql("SELECT t::DOUBLE AS t, count(*) FILTER (hit AND p1 >= t) AS tp_kept, count(*) FILTER (NOT hit AND p1 < t) AS fp_removed FROM (SELECT lesion, p AS p1, cls = truth AS hit FROM (SELECT *, row_number() OVER (PARTITION BY lesion, seed ORDER BY round(p,9) DESC, cls) AS rk FROM probs) WHERE rk=1), (VALUES (0.1),(0.14),(0.18),(0.25)) v(t) GROUP BY 1"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxtab.operators import classify as K
 from voxtab.operators import components as C
 from voxtab.operators import graph as G
 from voxtab.operators import lesions as L
 from voxtab.operators.space import AXES, box_offsets, cross_offsets, nearest, voxel_key
+from voxtab.plans.lineage import materialize
 from voxtab.plans.queries_voxels import CROSS, ID, comp_sql, comp_tables, comps, dist_sql, near_sql, sql
 from voxtab.plans.registry import query, rounded
 from voxtab.sources.fixtures import SPACING, intensity, vox, with_tables
@@ -43,6 +45,44 @@ def signature(spark, sf_dir):
     return L.signature(d, 0.7, L.dominant_class(o, d))
 
 
+#: Components with a true class (that of most truth voxels under them), their dominant class and their signature.
+RULE = {
+    "tru": "SELECT case_id, comp_id, cls AS truth FROM (SELECT c.case_id, c.comp_id, v.cls, row_number() OVER (PARTITION BY c.case_id, c.comp_id ORDER BY count(*) DESC, v.cls) AS r FROM comp c JOIN vox v USING (case_id,i,j,k) WHERE v.layer='N' GROUP BY 1,2,3) WHERE r = 1",
+    "sg": "SELECT case_id, comp_id, string_agg(DISTINCT cls::VARCHAR, ',' ORDER BY cls::VARCHAR) AS sig FROM dis WHERE (case_id, comp_id, cls) NOT IN (SELECT case_id, comp_id, cls FROM dom) AND dist <= 0.7 GROUP BY 1,2",
+    "rl": "SELECT t.case_id, t.comp_id, t.truth, d.cls AS own, coalesce(s.sig, '') AS sig FROM tru t JOIN dom d USING (case_id, comp_id) LEFT JOIN sg s USING (case_id, comp_id)",
+    "tr": "SELECT * FROM rl WHERE case_id % 2 = 0",
+}
+
+
+def rule_rows(spark, sf_dir):
+    c, o, d = tables(spark, sf_dir)
+    own = L.dominant_class(o, d)
+    met = c.select("case_id", "comp_id", *AXES).join(vox(spark, sf_dir, "N"), ["case_id", *AXES]).groupBy("case_id", "comp_id", "cls").agg(F.count("*").alias("n"))
+    truth = met.groupBy("case_id", "comp_id").agg(F.min_by("cls", F.struct(-F.col("n"), "cls")).alias("truth"))
+    y = truth.join(own.withColumnRenamed("cls", "own"), ["case_id", "comp_id"]).join(L.signature(d, 0.7, own), ["case_id", "comp_id"], "left")
+    return materialize(y.withColumn("sig", F.coalesce("sig", F.lit(""))))
+
+
+def _majority(keys: str) -> str:
+    by = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    return f"SELECT {by}truth AS best FROM (SELECT {by}truth, row_number() OVER ({part}ORDER BY count(*) DESC, truth) AS r FROM tr GROUP BY {by}truth) WHERE r = 1"
+
+
+@query(comp_sql(f"SELECT r.case_id, r.comp_id, r.truth, coalesce(a.best, b.best, g.best) AS pred_rule, CASE WHEN a.best IS NOT NULL THEN 0 WHEN b.best IS NOT NULL THEN 1 ELSE 2 END AS level FROM rl r LEFT JOIN ({_majority('own, sig')}) a USING (own, sig) LEFT JOIN ({_majority('own')}) b USING (own) LEFT JOIN ({_majority('')}) g ON true", extra=OV | DI | DOM | RULE))
+def signature_lookup(spark, sf_dir):
+    """CLF1: learned on every other case, by dominant class and neighbour set, else by dominant class, else from all."""
+    rows = rule_rows(spark, sf_dir)
+    out = K.lookup_levels(rows, rows.where("case_id % 2 = 0"), [["own", "sig"], ["own"]])
+    return out.select("case_id", "comp_id", "truth", "pred_rule", "level")
+
+
+@query(comp_sql("SELECT sig, round(avg((best = truth)::INT), 6) AS acc, count(*) AS n FROM (SELECT x.sig, x.truth, (SELECT y.truth FROM rl y WHERE y.sig = x.sig AND (y.case_id, y.comp_id) <> (x.case_id, x.comp_id) GROUP BY y.truth ORDER BY count(*) DESC, y.truth LIMIT 1) AS best FROM rl x) GROUP BY 1", extra=OV | DI | DOM | RULE))
+def signature_loo(spark, sf_dir):
+    """CLF2: accuracy of the majority rule of each neighbour set with the component left out."""
+    return rounded(K.leave_one_out(rule_rows(spark, sf_dir), "sig"))
+
+
 @query(sql("SELECT case_id, " + ", ".join(f"round(ln(1 + coalesce(sum((cls={c})::INT), 0) * 0.096::DOUBLE), 6) AS v{c}" for c in range(1, 8)) + " FROM vox WHERE layer='A' GROUP BY 1"))
 def case_volumes(spark, sf_dir):
     p = vox(spark, sf_dir, "A").groupBy("case_id").pivot("cls", list(range(1, 8))).agg(F.count("cls"))
