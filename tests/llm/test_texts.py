@@ -293,3 +293,24 @@ def test_whole_texts_match_one_search_of_their_lattice(spark):
         if text:
             want = [s for s, _ in lat.search(MARK + text.replace(" ", MARK))]
             assert [g[0] for g in lat.encode(text)] == pytest.approx(want)
+
+
+def test_neighbours_of_ties_and_clashing_columns(spark):
+    near = [(100, [5.0, 5.0, 5.0]), *((n, [5.0, 5.0, 5.0 + (1 if n % 2 else -1) * (n // 2 + 1)]) for n in (9, 8, 7, 6, 5, 4, 3, 2))]
+    far = [(n, [5.0, 40.0, 5.0]) for n in (50, 40, 30, 20)]
+    rows = [(i, v, 7, "r", 0.5, 3, False, "b") for i, v in near + far]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, query_id int, rank string, score double, dim int, verified boolean, block string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(v, F.col("vec_id") % 100 == 0).collect())
+    want = [(100, n + 1, n + 2, float((n + 2) // 2 + 1)) for n in range(8)] + [(100, 9, 20, 35.0), (100, 10, 30, 35.0)]
+    assert got == want  # of equal distances the smaller ids come first, and 40 and 50 find no place
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from voxtab.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    got = queries.op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.avg("predicted").alias("called")).collect()
+    by = {r.toxic: r for r in got}
+    assert by[0].n > 500 and by[0].called <= 0.02
+    assert by[1].n > 50 and by[1].called >= 0.6
