@@ -8,22 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtab.plans.lineage import materialize
+from voxtab.plans.totals import running_total
+
 
 def group_kfold(cases: DataFrame, k: int) -> DataFrame:
     """(case_id, patient_id, fold): a patient's cases share a fold; patients take turns by size, then id.
 
-    Sizes are ranked from counts per size, so no task ranks all patients: a
-    patient's number is the count of patients in larger sizes plus its rank among
-    patients of its size and salt, after those of smaller salts.
+    A patient's number is a running total over ranges of (size, id), so no task ranks
+    all patients.
     """
-    size = cases.groupBy("patient_id").agg(F.count("*").alias("n"))
-    size = size.withColumn("salt", F.floor(F.col("patient_id") / 4096))
-    part = size.groupBy("n", "salt").agg(F.count("*").alias("m"))
-    # One row per size and block of ids: far fewer than patients.
-    before = part.withColumn("before", F.sum("m").over(W.orderBy(F.desc("n"), "salt")) - F.col("m")).drop("m")
-    rank = F.row_number().over(W.partitionBy("n", "salt").orderBy("patient_id"))
-    fold = size.withColumn("r", rank).join(F.broadcast(before), ["n", "salt"]).select("patient_id", ((F.col("before") + F.col("r") - 1) % k).cast("int").alias("fold"))
-    return cases.join(fold, "patient_id")
+    size = cases.groupBy("patient_id").agg((-F.count("*")).alias("_less")).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+    numbered = running_total(size, "_all", ["_less", "patient_id"], "_one", "_no")
+    return cases.join(numbered.select("patient_id", (F.col("_no") % k).cast("int").alias("fold")), "patient_id")
 
 
 def leaks(folded: DataFrame) -> DataFrame:
@@ -39,14 +36,12 @@ def draw_index(b: Column, d: Column, n: Column) -> Column:
 def bootstrap_weights(items: DataFrame, key: str, resamples: int) -> DataFrame:
     """(b, key, w): how often each item is drawn in each resample, as often as there are items.
 
-    Items are numbered in blocks of ids, draws are made where the items are, and only counts are shuffled.
+    Items are numbered by running totals over ranges of ids, draws are made where the
+    items are, and only counts are shuffled.
     """
-    ids = items.select(key).distinct().withColumn("_blk", F.floor(F.col(key) / 4096))
-    part = ids.groupBy("_blk").agg(F.count("*").alias("m"))
-    before = part.withColumn("before", F.sum("m").over(W.orderBy("_blk")) - F.col("m")).drop("m")
-    n = ids.count()
-    numbered = ids.withColumn("r", F.row_number().over(W.partitionBy("_blk").orderBy(key))).join(F.broadcast(before), "_blk")
-    numbered = numbered.select(key, (F.col("before") + F.col("r") - 1).alias("no"))
+    ids = items.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1))
+    numbered = materialize(running_total(ids, "_all", [key], "_one", "no").select(key, F.col("no").cast("bigint").alias("no")))
+    n = numbered.count()
     draws = numbered.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     hit = draws.select("b", draw_index(F.col("b").cast("bigint"), F.col("no"), F.lit(n)).alias("no")).groupBy("b", "no").agg(F.count("*").alias("w"))
     return hit.join(numbered, "no").select("b", key, "w")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxtab.plans.totals import quantiles
+
 
 def case_percentiles(x: DataFrame) -> DataFrame:
     """Percentiles 0.5, 1, 5, 95, 99, 99.5 and the count per case and mask, in one pass."""
@@ -58,8 +60,9 @@ def bounded_sample(x: DataFrame, n: int) -> DataFrame:
 
 def recommend_window(x: DataFrame) -> DataFrame:
     """Per modality: pooled p0.5, the larger p99.5 of all and of vessels, and the variation of p99.5 over cases."""
-    vessel = F.when(F.col("mask") == "vessel", F.col("value"))
-    pooled = x.groupBy("modality").agg(F.percentile("value", F.lit(0.005)).alias("low"), F.greatest(F.percentile("value", F.lit(0.995)), F.percentile(vessel, F.lit(0.995))).alias("high"))
+    whole = quantiles(x, "modality", "value", {"low": 0.005, "_p": 0.995})
+    vessel = quantiles(x.where(F.col("mask") == "vessel"), "modality", "value", {"_v": 0.995})
+    pooled = whole.join(vessel, "modality", "left").select("modality", "low", F.greatest("_p", "_v").alias("high"))
     per = x.groupBy("modality", "case_id").agg(F.percentile("value", F.lit(0.995)).alias("p")).groupBy("modality").agg((F.stddev_pop("p") / F.avg("p")).alias("cv"))
     return pooled.join(per, "modality")
 
