@@ -11,6 +11,7 @@ from voxtab.operators import morphology as M
 from voxtab.operators import scoring as S
 from voxtab.operators.space import AXES, ball_offsets, box_offsets, cross_offsets, nearest, range_join
 from voxtab.plans.registry import query, rounded
+from voxtab.plans.totals import quantiles
 from voxtab.sources.fixtures import SPACING, intensity, table, vox, with_tables
 
 SI, SJ, SK = SPACING
@@ -538,7 +539,11 @@ def density_hist(spark, sf_dir):
 @query(isql("SELECT center, modality, count(DISTINCT case_id) AS cases, count(*) AS n, round(median(value),6) AS med FROM (SELECT *, CASE WHEN case_id % 3 = 0 THEN 'a' ELSE 'b' END AS center FROM inten) GROUP BY ROLLUP (center, modality)"))
 def profile_rollup(spark, sf_dir):
     x = intensity(spark, sf_dir).withColumn("center", F.when(F.col("case_id") % 3 == 0, "a").otherwise("b"))
-    return rounded(x.rollup("center", "modality").agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("med")))
+    counts = x.rollup("center", "modality").agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("n"))
+    key = F.concat_ws("|", F.coalesce("center", F.lit("*")), F.coalesce("modality", F.lit("*")))
+    levels = F.array(F.concat_ws("|", "center", "modality"), F.concat_ws("|", "center", F.lit("*")), F.lit("*|*"))
+    med = quantiles(x.select(F.explode(levels).alias("key"), "value"), "key", "value", {"med": 0.5})
+    return rounded(counts.withColumn("key", key).join(med, "key", "left").drop("key"))
 
 
 @query(isql("SELECT modality, mask, case_id, value FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY (i*7919 + j*104729 + k*31337) % 1009, i, j, k, value) AS r FROM inten) WHERE r <= 50"))
