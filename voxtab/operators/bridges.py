@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtab.operators.space import AXES, range_join
 from voxtab.plans.graph import connected_components
-from voxtab.plans.lineage import materialize
+from voxtab.plans.lineage import stored
 
 
 def bridge_components(points: DataFrame, gap: float, spacing: tuple[float, float, float]) -> DataFrame:
@@ -21,19 +21,19 @@ def bridge_components(points: DataFrame, gap: float, spacing: tuple[float, float
     ends = points.select("case_id", "comp_id", *AXES).distinct()
     pairs = range_join(ends, ends, gap, spacing).where("l_comp_id < r_comp_id")
     least = pairs.groupBy("case_id", F.col("l_comp_id").alias("a"), F.col("r_comp_id").alias("b")).agg(F.round(F.min("d"), 9).alias("w"))
-    live = materialize(least.select("case_id", "a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb")))
+    live = stored(least.select("case_id", "a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb")))
     taken = live.select("case_id", "a", "b", "w").limit(0)
     label = None
     while not live.isEmpty():
         sides = live.select("case_id", F.explode(F.array("la", "lb")).alias("l"), F.struct("w", "a", "b").alias("e"))
         best = sides.groupBy("case_id", "l").agg(F.min("e").alias("e")).select("case_id", "e.a", "e.b", "e.w")
-        taken = materialize(taken.unionByName(best.distinct()))
+        taken = stored(taken.unionByName(best.distinct()))
         node = lambda c: F.struct("case_id", F.col(c).alias("comp"))
         roots = connected_components(taken.select(node("a").alias("u"), node("b").alias("v")), "u", "v")
-        label = materialize(roots.select(F.col("node.case_id").alias("case_id"), F.col("node.comp").alias("comp"), F.col("component.comp").alias("root")))
+        label = stored(roots.select(F.col("node.case_id").alias("case_id"), F.col("node.comp").alias("comp"), F.col("component.comp").alias("root")))
         of = lambda c, name: label.select("case_id", F.col("comp").alias(c), F.col("root").alias(name))
         moved = live.drop("la", "lb").join(of("a", "la"), ["case_id", "a"]).join(of("b", "lb"), ["case_id", "b"])
-        live = materialize(moved.where("la <> lb").select("case_id", "a", "b", "w", "la", "lb"))
+        live = stored(moved.where("la <> lb").select("case_id", "a", "b", "w", "la", "lb"))
     if label is None:
         return taken.withColumn("bridged", F.col("a"))
     return taken.join(label.select("case_id", F.col("comp").alias("a"), F.col("root").alias("bridged")), ["case_id", "a"]).select("case_id", "a", "b", "w", "bridged")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtab.operators.components import mask_distance
 from voxtab.operators.space import AXES
-from voxtab.plans.lineage import materialize
+from voxtab.plans.lineage import stored
 
 
 def detection_sweep(pred: DataFrame, truth: DataFrame, vessels: DataFrame, grid: DataFrame, radius: float, spacing: tuple[float, float, float]) -> DataFrame:
@@ -17,7 +17,7 @@ def detection_sweep(pred: DataFrame, truth: DataFrame, vessels: DataFrame, grid:
     rows, is broadcast over components.
     """
     size = pred.groupBy("case_id", "comp_id").agg(F.count("*").alias("n"))
-    table = materialize(size.join(mask_distance(pred, vessels, radius, spacing), ["case_id", "comp_id"]))
+    table = stored(size.join(mask_distance(pred, vessels, radius, spacing), ["case_id", "comp_id"]))
     key = ["case_id", *AXES]
     hits = pred.select(*key, "comp_id").join(truth.select(*key, F.col("comp_id").alias("gt")), key).select("case_id", "comp_id", "gt").distinct()
     kept = table.join(F.broadcast(grid), (F.col("n") >= F.col("min_vox")) & (F.col("dist") <= F.col("max_dist") + 1e-9))

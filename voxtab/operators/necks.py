@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxtab.operators.components import components, largest_component
 from voxtab.operators.space import AXES, ball_offsets, nearest, range_join, shifted
-from voxtab.plans.lineage import materialize
+from voxtab.plans.lineage import stored
 
 COMP = ("case_id", "comp_id")
 PLACE = ("case_id", *AXES)
@@ -71,7 +71,7 @@ def inner_distance(voxels: DataFrame, spacing: tuple[float, float, float]) -> Da
     Shells of growing radius are looked up by an equi-join on position, and only
     voxels whose inner shells are full go on, so the work follows the thickness.
     """
-    full = materialize(voxels.select(*PLACE).distinct())
+    full = stored(voxels.select(*PLACE).distinct())
     open_, done, inside, reach = full, None, {(0, 0, 0)}, max(spacing)
     while True:
         ball = ball_offsets(reach, spacing)
@@ -79,9 +79,9 @@ def inner_distance(voxels: DataFrame, spacing: tuple[float, float, float]) -> Da
         own = open_.select(*PLACE, *[F.col(a).alias("o" + a) for a in AXES])
         free = shifted(own, shell).join(full, list(PLACE), "left_anti")
         gap = F.sqrt(sum(((F.col(a) - F.col("o" + a)) * F.lit(s)) * ((F.col(a) - F.col("o" + a)) * F.lit(s)) for a, s in zip(AXES, spacing)))
-        hit = materialize(free.groupBy("case_id", *[F.col("o" + a).alias(a) for a in AXES]).agg(F.min(gap).alias("inner")))
+        hit = stored(free.groupBy("case_id", *[F.col("o" + a).alias(a) for a in AXES]).agg(F.min(gap).alias("inner")))
         done = hit if done is None else done.unionByName(hit)
-        open_ = materialize(open_.join(hit, list(PLACE), "left_anti"))
+        open_ = stored(open_.join(hit, list(PLACE), "left_anti"))
         if open_.isEmpty():
             return done
         inside, reach = set(ball), reach + max(spacing)

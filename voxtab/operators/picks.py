@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtab.operators.space import AXES, voxel_key
-from voxtab.plans.lineage import materialize
+from voxtab.plans.lineage import stored
 
 COMP = ("case_id", "comp_id")
 
@@ -25,10 +25,10 @@ def farthest_points(comps: DataFrame, budget: int) -> DataFrame:
     x = x.join(centre, list(COMP)).select(*COMP, *AXES, "n", F.round(square("c"), 9).alias("d"))
     few = x.where(F.col("n") <= budget).withColumn("nth", F.row_number().over(W.partitionBy(*COMP).orderBy("d", voxel_key())))
     out = few.select(*COMP, *AXES, "nth")
-    state = materialize(x.where(F.col("n") > budget).select(*COMP, *AXES, (-F.col("d")).alias("far")))
+    state = stored(x.where(F.col("n") > budget).select(*COMP, *AXES, (-F.col("d")).alias("far")))
     for nth in range(1, budget + 1):
         best = F.min_by(F.struct(*[F.col(a).alias("p" + a) for a in AXES], "far"), F.struct(-F.col("far"), voxel_key())).alias("b")
-        pick = materialize(state.groupBy(*COMP).agg(best).select(*COMP, "b.*"))
+        pick = stored(state.groupBy(*COMP).agg(best).select(*COMP, "b.*"))
         if nth > 1:  # none left that is not picked
             pick = pick.where("far > 0")
         out = out.unionByName(pick.select(*COMP, *[F.col("p" + a).alias(a) for a in AXES], F.lit(nth).alias("nth")))
@@ -36,7 +36,7 @@ def farthest_points(comps: DataFrame, budget: int) -> DataFrame:
             now = square("p").cast("double")
             near = now if nth == 1 else F.least("far_", now)
             moved = state.withColumnRenamed("far", "far_").join(pick.drop("far"), list(COMP)).select(*COMP, *AXES, near.alias("far"))
-            state = materialize(moved)
+            state = stored(moved)
     return out
 
 
