@@ -76,4 +76,5 @@ def rare_blend(probs: DataFrame, other: DataFrame, rare: DataFrame, share: float
     mixed = (1 - share) * F.col("p") + share * F.col("_keep") * F.coalesce("q", F.lit(0.0)) / F.col("_sub")
     x = x.withColumn("m", F.when(rare_ & (F.col("_sub") > 0), mixed).otherwise(F.col("p")))
     total = F.sum("m").over(w)
-    return x.select("vec_id", "cls", F.when(total > 0, F.col("m") / total).otherwise(F.col("p")).alias("p"))
+    # Sums come in any order; twelve decimals hide that, so that halves of a later digit round alike.
+    return x.select("vec_id", "cls", F.round(F.when(total > 0, F.col("m") / total).otherwise(F.col("p")), 12).alias("p"))
