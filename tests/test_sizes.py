@@ -36,3 +36,17 @@ def test_edges_and_wide_frontiers_are_not_broadcast(line):
     assert "BroadcastExchange" in plan(few_or_shuffled(ends, FEW).join(edges, ["case_id", "u"]))
     reached = geodesic(edges, line.where("i = 0").selectExpr("case_id", "0L as u"))
     assert {r["dist"] for r in reached.collect()} == set(map(float, range(9)))
+
+
+def test_growth_looks_no_farther_than_it_must(spark, monkeypatch):
+    from voxtab.operators import morphology as M
+
+    seen, ring = [], M._ring
+    monkeypatch.setattr(M, "_ring", lambda v, r: seen.append((r, v.select("case_id").distinct().count())) or ring(v, r))
+    rows = [(0, 0, 0, 0, 1), (0, 9, 0, 0, 2), (1, 0, 0, 0, 3)]
+    v = spark.createDataFrame(rows, "case_id int, i int, j int, k int, cls int")
+    grown = M.grow_volume(v, 8.0)
+    assert dict(grown.groupBy("case_id").count().collect()) == {0: 16, 1: 8}
+    assert {r["cls"] for r in grown.where("case_id = 0 and i < 3").collect()} == {1}
+    assert seen == [(1, 2), (2, 2)]
+    assert seen[:1] and M.grow_volume(v, 4.0).count() == 12 and seen[2:] == [(1, 2)]
