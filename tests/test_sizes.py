@@ -50,3 +50,16 @@ def test_growth_looks_no_farther_than_it_must(spark, monkeypatch):
     assert {r["cls"] for r in grown.where("case_id = 0 and i < 3").collect()} == {1}
     assert seen == [(1, 2), (2, 2)]
     assert seen[:1] and M.grow_volume(v, 4.0).count() == 12 and seen[2:] == [(1, 2)]
+
+
+def test_rounds_leave_arcs_of_other_vertices_aside(spark, monkeypatch):
+    from voxtab.operators import branches as B
+
+    kept, stored = [], B.stored
+    monkeypatch.setattr(B, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    ways = [(0, 1), (1, 2), (2, 3), (3, 4), *[(a, b) for a in range(4, 9) for b in range(a + 1, 9)]]  # a chain that ends at a clique of five
+    edges = spark.createDataFrame([(0, a, b, 1.0) for x, y in ways for a, b in ((x, y), (y, x))], "case_id int, u long, v long, w double")
+    found = {(r["u"], r["at"]): (r["len"], r["steps"]) for r in B.contract(edges).where("done and own <> 2").collect()}
+    assert found[0, 4] == found[4, 0] == (4.0, 4) and len(found) == 22
+    assert kept[0].count() == 28 and max(df.count() for df in kept[1:]) == 8
+    assert {r["own"] for r in B.contract(edges, most=2).collect()} == {1, 2}
