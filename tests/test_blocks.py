@@ -43,3 +43,37 @@ def test_labels_are_dilated_without_pairs(spark, monkeypatch):
         near = min((round(mm(p, x), 9), x) for x in old)
         want[p] = old[near[1]] if near[0] <= 0.6 + 1e-9 else None
     assert got == want | old
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_cosine_neighbours_meet_in_blocks_of_queries_and_rows(spark, block):
+    from voxtab.operators.classify import knn_cosine
+
+    draw = random.Random(5)
+    vecs = {n: [draw.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(3)] for n in range(40)} | {40: None, 41: [0.0, 0.0, 0.0], 42: [1.0, None, 1.0]}
+    rows = [(n, x, n % 3, n % 4) for n, x in vecs.items()]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, fold int")
+    got = knn_cosine(e, e.where("vec_id < 20 or vec_id > 39"), 5, 2, block)
+    want = {}
+    for n, x, _, fold in rows:
+        if n >= 20 or not any(x):
+            continue
+        norm = lambda v: sum(c * c for c in v) ** 0.5
+        sims = [(round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 9), -m, label) for m, y, label, f in rows if m < 40 and any(y) and f != fold]
+        votes = {}
+        for s, _, label in sorted((s for s in sims if s[0] > 0), reverse=True)[:5]:
+            votes[label] = votes.get(label, 0) + s * s
+        pred, w = min(votes.items(), key=lambda v: (-round(v[1], 6), v[0]))
+        want[n] = (n % 3, pred, round(w, 6))
+    assert {r["vec_id"]: (r["truth"], r["pred"], round(r["w"], 6)) for r in got.collect()} == want
+    assert got._jdf.queryExecution().toString().count("CoGroup") > 0
+
+
+def test_rows_of_a_regression_are_written_before_its_steps(spark, monkeypatch):
+    from voxtab.operators import logistic as R
+
+    written, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df: written.append(write(df)) or written[-1])
+    rows = spark.createDataFrame([([float(n % 7)], [1] if n % 3 else []) for n in range(30)], "x array<double>, present array<int>")
+    model = R.fit_presence(rows, 1, [1], 1.0)
+    assert len(model[1]) == 2 and [df.count() for df in written] == [30]

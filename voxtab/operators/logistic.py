@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxtab.plans.lineage import materialize
+
 
 def fit_presence(rows: DataFrame, dims: int, classes: list[int], ridge: float, least: int = 3, balanced: bool = False, steps: int = 25, enough: float = 1e-9) -> dict[int, float | list[float]]:
     """Per class its mean rate, or an intercept and dims weights, from rows (x: array of dims numbers, present: array of classes).
@@ -19,7 +21,7 @@ def fit_presence(rows: DataFrame, dims: int, classes: list[int], ridge: float, l
     balanced weighs present and absent rows so that both count the same. Rows with a
     null in x or present are left out; without rows every rate is 0.
     """
-    rows = rows.where("x is not null and present is not null and not exists(x, v -> v is null)").select("x", "present")
+    rows = materialize(rows.where("x is not null and present is not null and not exists(x, v -> v is null)").select("x", "present"))  # every step reads it
     here = [F.count_if(F.array_contains("present", c)).alias(f"n{c}") for c in classes]
     total = rows.agg(F.count("*").alias("n"), *here).first()
     n = {c: total[f"n{c}"] for c in classes}
