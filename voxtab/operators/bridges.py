@@ -28,9 +28,8 @@ def bridge_components(points: DataFrame, gap: float, spacing: tuple[float, float
         sides = live.select("case_id", F.explode(F.array("la", "lb")).alias("l"), F.struct("w", "a", "b").alias("e"))
         best = sides.groupBy("case_id", "l").agg(F.min("e").alias("e")).select("case_id", "e.a", "e.b", "e.w")
         taken = stored(taken.unionByName(best.distinct()))
-        node = lambda c: F.struct("case_id", F.col(c).alias("comp"))
-        roots = connected_components(taken.select(node("a").alias("u"), node("b").alias("v")), "u", "v")
-        label = stored(roots.select(F.col("node.case_id").alias("case_id"), F.col("node.comp").alias("comp"), F.col("component.comp").alias("root")))
+        roots = connected_components(taken, "a", "b", within=("case_id",))
+        label = stored(roots.select("case_id", F.col("node").alias("comp"), F.col("component").alias("root")))
         of = lambda c, name: label.select("case_id", F.col("comp").alias(c), F.col("root").alias(name))
         moved = live.drop("la", "lb").join(of("a", "la"), ["case_id", "a"]).join(of("b", "lb"), ["case_id", "b"])
         live = stored(moved.where("la <> lb").select("case_id", "a", "b", "w", "la", "lb"))
