@@ -77,3 +77,19 @@ def test_rows_of_a_regression_are_written_before_its_steps(spark, monkeypatch):
     rows = spark.createDataFrame([([float(n % 7)], [1] if n % 3 else []) for n in range(30)], "x array<double>, present array<int>")
     model = R.fit_presence(rows, 1, [1], 1.0)
     assert len(model[1]) == 2 and [df.count() for df in written] == [30]
+
+
+def test_components_that_meet_no_truth_are_not_broadcast(spark):
+    from voxtab.operators.components import drop_orphans
+    from voxtab.operators.necks import false_blobs
+    from voxtab.plans.lineage import stored
+
+    rows = [(0, n, 3 * n + x, 0, 0, n % 2) for n in range(4) for x in range(2)]
+    comps = stored(spark.createDataFrame(rows, "case_id int, comp_id bigint, i int, j int, k int, cls int"))
+    blobs = false_blobs(comps, comps.where("comp_id = 0"), 2.5, (1.0, 1.0, 1.0))
+    assert {(r["comp_id"], r["n_vox"], r["gt_mm"]) for r in blobs.collect()} == {(1, 2, 2.0), (2, 2, None), (3, 2, None)}
+    allowed = spark.createDataFrame([(0, 2)], "cls int, other_cls int")
+    kept = drop_orphans(comps, allowed)
+    assert kept.count() == 4
+    for df, most in ((blobs, 0), (kept, 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= most

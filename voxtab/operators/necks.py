@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxtab.operators.components import components, largest_component
 from voxtab.operators.space import AXES, ball_offsets, nearest, range_join, shifted
-from voxtab.plans.lineage import stored
+from voxtab.plans.lineage import by_shuffle, stored
 
 COMP = ("case_id", "comp_id")
 PLACE = ("case_id", *AXES)
@@ -102,9 +102,9 @@ def false_blobs(found: DataFrame, truth: DataFrame, radius: float, spacing: tupl
     the truth where that is within radius, else null.
     """
     met = found.join(truth.select(*PLACE), list(PLACE), "left_semi").select(*COMP).distinct()
-    false = found.join(met, list(COMP), "left_anti")
+    false = found.join(by_shuffle(met), list(COMP), "left_anti")
     n = false.groupBy(*COMP, "cls").agg(F.count("*").alias("n"))
     w = W.partitionBy(*COMP)
     n = n.withColumn("n_vox", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "cls"))).where("rank <= 2")
     gap = range_join(false.select(*COMP, *AXES), truth.select(*PLACE), radius, spacing).groupBy("case_id", F.col("l_comp_id").alias("comp_id")).agg(F.min("d").alias("gt_mm"))
-    return n.join(gap, list(COMP), "left").select(*COMP, "rank", "cls", "n", "n_vox", "gt_mm")
+    return n.join(by_shuffle(gap), list(COMP), "left").select(*COMP, "rank", "cls", "n", "n_vox", "gt_mm")
