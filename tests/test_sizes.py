@@ -63,3 +63,12 @@ def test_rounds_leave_arcs_of_other_vertices_aside(spark, monkeypatch):
     assert found[0, 4] == found[4, 0] == (4.0, 4) and len(found) == 22
     assert kept[0].count() == 28 and max(df.count() for df in kept[1:]) == 8
     assert {r["own"] for r in B.contract(edges, most=2).collect()} == {1, 2}
+
+
+def test_rounds_of_geodesic_read_written_edges(spark, monkeypatch):
+    from voxtab.plans import queries_lesions as Q
+
+    seen = []
+    monkeypatch.setattr(Q.G, "geodesic", lambda edges, *a, **k: seen.append(edges) or geodesic(edges, *a, **k))
+    assert Q.geodesic(spark, "/root/testdata/sf0.001").count()
+    assert "Join" not in plan(seen[0]) and "lineitem" not in plan(seen[0])
