@@ -65,6 +65,21 @@ def test_rounds_leave_arcs_of_other_vertices_aside(spark, monkeypatch):
     assert {r["own"] for r in B.contract(edges, most=2).collect()} == {1, 2}
 
 
+def test_nodes_and_frames_are_not_broadcast(spark):
+    from voxtab.operators import anatomy as A
+
+    rows = [(c, n, [1, 2] if n else [1, 3], float(n), 0.0, 0.0) for c in range(9) for n in range(c % 3)]
+    nodes = materialize(spark.createDataFrame(rows, "case_id int, node_id int, class_ids array<int>, x double, y double, z double"))
+    axes = [f"{float(a[1] == 'xyz'['uvw'.find(a[0])]) if a[0] in 'uvw' else 0.0}D as {a}" for a in (n + c for n in "ouvwrlb" for c in "xyz")]
+    frame = materialize(nodes.select("case_id").distinct().selectExpr("case_id", "1.0D as s", *axes))
+    points = materialize(spark.createDataFrame([(c, 0, 0.0, 0.0, 0.0) for c in range(9)], "case_id int, comp_id int, x double, y double, z double"))
+    assert "BroadcastExchange" not in plan(A.positions(points, frame))
+    assert "BroadcastExchange" not in plan(A.node_distances(points, materialize(A.node_type(nodes).withColumn("missing", A.F.lit(False)))))
+    types = A.atlas(nodes, frame, 3)
+    found = A.node_distances(points, A.filled_nodes(nodes, frame, types))
+    assert {(r["case_id"], r["sig"]): (r["dist"], r["missing"]) for r in found.collect()} == {(c, s): (float(s == "1,2"), c % 3 == 1 and s == "1,2") for c in (1, 2, 4, 5, 7, 8) for s in ("1,3", "1,2")}
+
+
 def test_rounds_of_geodesic_read_written_edges(spark, monkeypatch):
     from voxtab.plans import queries_lesions as Q
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtab.operators.space import AXES, range_join, shifted, voxel_key
+from voxtab.plans.lineage import by_shuffle
 
 #: A landmark or a node type is known by classes that its node has; any of the listed sets will do.
 Patterns = list[tuple[int, ...]]
@@ -54,7 +55,7 @@ def frames(nodes: DataFrame, right: Patterns, left: Patterns, base: Patterns) ->
 
 def positions(points: DataFrame, frame: DataFrame) -> DataFrame:
     """points (case_id, x, y, z, ...) of cases with a frame, with p* (in its axes) and dr, dl, db (from its landmarks), all in units of its scale."""
-    y = points.join(frame, "case_id")
+    y = points.join(by_shuffle(frame), "case_id")
     off = [F.col(c) - F.col("o" + c) for c in "xyz"]
     axes = [(_dot(off, _three(a)) / F.col("s")).alias("p" + c) for a, c in zip("uvw", "xyz")]
     far = [[F.col(c) - F.col(n + c) for c in "xyz"] for n in "rlb"]
@@ -78,15 +79,15 @@ def filled_nodes(nodes: DataFrame, frame: DataFrame, types: DataFrame) -> DataFr
     The types are sets of classes, so as many as there are such sets, however many cases.
     """
     own = node_type(nodes).join(F.broadcast(types.select("sig")), "sig", "left_semi").select("case_id", "sig", "x", "y", "z")
-    wanted = frame.crossJoin(F.broadcast(types)).join(own.select("case_id", "sig").distinct(), ["case_id", "sig"], "left_anti")
+    wanted = frame.crossJoin(F.broadcast(types)).join(by_shuffle(own.select("case_id", "sig").distinct()), ["case_id", "sig"], "left_anti")
     place = lambda c: F.col("o" + c) + F.col("s") * (F.col("px") * F.col("u" + c) + F.col("py") * F.col("v" + c) + F.col("pz") * F.col("w" + c))
     stand_in = wanted.select("case_id", "sig", *[place(c).alias(c) for c in "xyz"], F.lit(True).alias("missing"))
-    return own.join(frame.select("case_id"), "case_id", "left_semi").withColumn("missing", F.lit(False)).unionByName(stand_in)
+    return own.join(by_shuffle(frame.select("case_id")), "case_id", "left_semi").withColumn("missing", F.lit(False)).unionByName(stand_in)
 
 
 def node_distances(points: DataFrame, targets: DataFrame) -> DataFrame:
     """(case_id, comp_id, sig, dist, missing): from every point (case_id, comp_id, x, y, z) to the nearest target of each type."""
-    y = points.select("case_id", "comp_id", *[F.col(c).alias("a" + c) for c in "xyz"]).join(targets, "case_id")
+    y = points.select("case_id", "comp_id", *[F.col(c).alias("a" + c) for c in "xyz"]).join(by_shuffle(targets), "case_id")
     off = [F.col(c) - F.col("a" + c) for c in "xyz"]
     return y.groupBy("case_id", "comp_id", "sig").agg(F.min(F.sqrt(_dot(off, off))).alias("dist"), F.max("missing").alias("missing"))
 
