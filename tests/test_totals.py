@@ -17,6 +17,16 @@ def test_quantiles_match_numpy(spark):
     assert quantiles(spark.createDataFrame([], "g string, v double"), "g", "v", {"p": 0.5}).count() == 0
 
 
+def test_values_may_come_counted(spark):
+    from voxtab.plans.catalog import QUERIES
+
+    rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", None, 7), ("b", 4.0, 2), ("b", 8.0, 1), ("b", 8.0, 1)]
+    counted = spark.createDataFrame(rows, "g string, v double, n long")
+    assert {r.g: r.p for r in quantiles(counted, "g", "v", {"p": 0.5}, "n").collect()} == {"a": 1.0, "b": 6.0}
+    logical = QUERIES["profile_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Expand") == 1 and "count(1)" not in logical.split("Expand")[0]  # rows are counted once a case before the levels
+
+
 def test_patients_take_turns_by_size_then_id(spark):
     rows = [(1, 30), (2, 30), (3, 30), (4, 10), (5, 10), (6, 20), (7, 20), (8, 5)]
     got = {r.patient_id: r.fold for r in group_kfold(spark.createDataFrame(rows, "case_id bigint, patient_id bigint"), 3).collect()}

@@ -26,14 +26,14 @@ def running_total(rows: DataFrame, group: str, order: list[str], value: str, nam
     return summed.join(ranges, ["_part", group]).withColumn(name, F.col("_base") + F.col("_own")).select(*rows.columns, name)
 
 
-def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(group, one column per share): exact percentiles, interpolated between neighbours, of values that are not null.
+def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float], times: str | None = None) -> DataFrame:
+    """(group, one column per share): exact percentiles, interpolated between neighbours, of values that are not null, each counted `times` (a column) times if given.
 
     Values are counted, the counts summed over ranges, and the two values at each
     place read off, so no task holds all values of a group. Groups without values
     (and a null group) are left out.
     """
-    n = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    n = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     n = running_total(n, group, ["_v"], "_n", "_at")
     n = materialize(n)  # read again for the totals
     y = n.join(n.groupBy(group).agg(F.sum("_n").alias("_all")), group)
