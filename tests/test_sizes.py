@@ -87,3 +87,12 @@ def test_rounds_of_geodesic_read_written_edges(spark, monkeypatch):
     monkeypatch.setattr(Q.G, "geodesic", lambda edges, *a, **k: seen.append(edges) or geodesic(edges, *a, **k))
     assert Q.geodesic(spark, "/root/testdata/sf0.001").count()
     assert "Join" not in plan(seen[0]) and "lineitem" not in plan(seen[0])
+
+
+def test_hits_of_the_sweep_are_not_broadcast(spark, line):
+    from voxtab.operators.detection import detection_sweep
+
+    comps, grid = components(line), spark.createDataFrame([(1, 0.5), (10, 0.5)], "min_vox int, max_dist double")
+    swept = detection_sweep(comps, comps.where("comp_id > 0"), line, grid, 1.0, UNIT)
+    assert {r["min_vox"]: (r["hits"], r["false_comps"]) for r in swept.collect()} == {1: (3, 3), 10: (3, 0)}
+    assert "isFinalPlan=true" in plan(swept) and "BroadcastHashJoin [case_id" not in plan(swept)
