@@ -96,3 +96,13 @@ def test_hits_of_the_sweep_are_not_broadcast(spark, line):
     swept = detection_sweep(comps, comps.where("comp_id > 0"), line, grid, 1.0, UNIT)
     assert {r["min_vox"]: (r["hits"], r["false_comps"]) for r in swept.collect()} == {1: (3, 3), 10: (3, 0)}
     assert "isFinalPlan=true" in plan(swept) and "BroadcastHashJoin [case_id" not in plan(swept)
+
+
+def test_matched_nodes_are_not_broadcast(spark):
+    from voxtab.operators.junctions import match_nodes
+
+    rows = [(c, n, [1, 2], float(c * n), 0.0, 0.0) for c in range(3) for n in range(2)]
+    nodes = materialize(spark.createDataFrame(rows, "case_id int, node_id int, class_ids array<int>, x double, y double, z double"))
+    found = match_nodes(nodes.where("node_id = 0"), nodes.where("node_id = 1"), 1.0)
+    assert {r["case_id"]: r["kind"] for r in found.collect()} == {0: "true", 1: "true", 2: "false"}
+    assert "BroadcastExchange" not in plan(found)
