@@ -93,3 +93,27 @@ def test_components_that_meet_no_truth_are_not_broadcast(spark):
     assert kept.count() == 4
     for df, most in ((blobs, 0), (kept, 2)):
         assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= most
+
+
+@pytest.mark.parametrize("n, block", [(60, 7), (4500, 1000)])
+def test_rare_labels_may_have_many_rows(spark, n, block):
+    from voxtab.operators.picks import rare_similarity
+
+    draw = random.Random(6)
+    vecs = [[draw.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(3)] for _ in range(n)] + [None, [0.0, 0.0, 0.0], [1.0, None, 1.0]]
+    rows = [(i % 50 if n == 60 else i, x, i % 3 if i % 9 else None, i % 4 if i % 11 else None) for i, x in enumerate(vecs)]
+    e = spark.createDataFrame(rows, "vec_id bigint, x array<double>, label int, fold int")
+    got = {(r["vec_id"], r["cls"]): round(r["sim"], 9) for r in rare_similarity(e, spark.createDataFrame([(1,), (2,)], "cls int"), block).collect()}
+    usable = [(v, tuple(x), c, f) for v, x, c, f in rows if x and any(x) and None not in x and f is not None]
+    few = {(x, c, f) for _, x, c, f in usable if c in (1, 2)}
+    norm = lambda v: sum(c * c for c in v) ** 0.5
+    near = {}
+    for x, f in {(x, f) for _, x, _, f in usable}:
+        for y, c, g in few:
+            if f != g:
+                near[x, f, c] = max(near.get((x, f, c), -2), round(sum(a * b for a, b in zip(x, y)) / norm(x) / norm(y), 9))
+    want = {}
+    for v, x, _, f in usable:
+        for c in (1, 2):
+            want[v, c] = max(want.get((v, c), -2), near[x, f, c])
+    assert got == want

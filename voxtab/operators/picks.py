@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.operators.space import AXES, voxel_key
 from voxtab.plans.lineage import stored
@@ -40,24 +44,46 @@ def farthest_points(comps: DataFrame, budget: int) -> DataFrame:
     return out
 
 
-def unit_dot(a: Column, b: Column) -> Column:
-    """The cosine of two arrays; null if one is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
-
-
-def rare_similarity(rows: DataFrame, rare: DataFrame, most: int = 4096) -> DataFrame:
+def rare_similarity(rows: DataFrame, rare: DataFrame, block: int = 8192) -> DataFrame:
     """(vec_id, cls, sim): the largest cosine of each row (vec_id, fold, label, x) with a row of another fold that has the rare label cls.
 
-    Rare labels have few rows by definition; over `most` of them in all are refused.
+    All rows against all rows of rare labels, however many: both are dealt to blocks
+    of bounded size, and every block of rows meets every block of rare ones in a task
+    of its own, as products of matrices, some rows at a time. Arrays that are null,
+    zero, hold a null or have another length are like none, and folds that are null meet none.
     """
-    few = rows.join(F.broadcast(rare.select(F.col("cls").alias("label"))), "label", "left_semi").select(F.col("label").alias("cls"), F.col("fold").alias("_fold"), F.col("x").alias("_x"))
-    n = few.count()
-    if n > most:
-        raise ValueError(f"{n} rows of rare labels, over {most}")
-    pairs = rows.join(F.broadcast(few), F.col("fold") != F.col("_fold")).select("vec_id", "cls", unit_dot(F.col("x"), F.col("_x")).alias("s"))
-    return pairs.groupBy("vec_id", "cls").agg(F.max("s").alias("sim"))
+    dot = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    usable = rows.withColumn("_n", F.sqrt(dot)).where("_n > 0 and fold is not null")
+    plain = [F.col("fold").cast("bigint").alias("fold"), F.col("x").cast("array<double>").alias("x"), F.col("_n").alias("_n")]
+    q = usable.select("vec_id", *plain).distinct()
+    t = usable.join(F.broadcast(rare.select(F.col("cls").alias("label"))), "label", "left_semi").select(F.col("label").alias("cls"), *plain).distinct()
+    sets, blocks = (max(df.count() // block, 3) + 1 for df in (q, t))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    q = q.withColumn("dims", F.size("x")).withColumn("set", F.pmod(F.xxhash64("vec_id", "x"), F.lit(sets))).withColumn("block", F.explode(upto(blocks)))
+    t = t.withColumn("dims", F.size("x")).withColumn("block", F.pmod(F.xxhash64("cls", "fold", "x"), F.lit(blocks))).withColumn("set", F.explode(upto(sets)))
+    ids = StructType([q.schema["vec_id"], t.schema["cls"]])
+    kinds = to_arrow_schema(ids)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [pa.table([pa.array([], f.type) for f in kinds] + [pa.array([], pa.float64())], names=["vec_id", "cls", "sim"])]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by([("cls", "ascending"), ("fold", "ascending")])
+            unit = lambda x: np.stack(x.column("x").to_numpy()) / x.column("_n").to_numpy()[:, None]
+            a, b = unit(left), unit(right).T
+            own, fold, cls = left.column("fold").to_numpy(), right.column("fold").to_numpy(), right.column("cls").to_numpy()
+            first = lambda *keys: np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+            runs = first(cls, fold)  # rows of one label and fold stand together
+            tops = first(cls[runs])
+            for lo in range(0, len(a), 512):
+                top = np.maximum.reduceat(a[lo : lo + 512] @ b, runs, axis=1)
+                top = np.maximum.reduceat(np.where(own[lo : lo + 512, None] != fold[runs], top, -np.inf), tops, axis=1)
+                r, c = np.nonzero(~np.isneginf(top))
+                found.append(pa.table([left.column("vec_id").take(pa.array(lo + r)), right.column("cls").take(pa.array(runs[tops[c]])), pa.array(top[r, c])], names=["vec_id", "cls", "sim"]))
+        return pa.concat_tables(found).cast(kinds.append(pa.field("sim", pa.float64())))
+
+    meeting = ["set", "block", "dims"]
+    best = q.groupBy(*meeting).cogroup(t.groupBy(*meeting)).applyInArrow(meet, StructType([*ids, StructField("sim", DoubleType())]))
+    return best.groupBy("vec_id", "cls").agg(F.max("sim").alias("sim"))
 
 
 def rare_boost(probs: DataFrame, similarity: DataFrame, power: float) -> DataFrame:
