@@ -95,6 +95,63 @@ def test_ways_by_group_and_limit(spark):
         assert got == {(m, u): d[s, u] for m, s in ((0, 1), (1, 5)) for u in range(30) if d[s, u] <= 6.0}
 
 
+def many_graphs(spark):
+    """The ways and the edges of random graphs of two cases."""
+    pairs, rows = {}, []
+    for case, seed in ((1, 5), (2, 6)):
+        own, edges = random_graph(spark, seed)
+        pairs[case] = all_ways(own, 30)
+        rows += [(case, *e[1:]) for e in edges.collect()]
+    edges = spark.createDataFrame(rows, "case_id int, u bigint, v bigint, w double")
+    return pairs, edges
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_ways_in_tasks_and_in_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(G, "MOST_EDGES", most)
+    if most:
+        for name in ("_rounds", "_two_rounds"):
+            monkeypatch.setattr(G, name, lambda *_: pytest.fail("small graphs went in rounds"))
+    pairs, edges = many_graphs(spark)
+    sources = [(1, 0, 3), (1, 0, 9), (1, 7, 4), (2, 7, 1), (3, 0, 5), (2, 0, 77)]  # no edge leads from the last two
+    src = spark.createDataFrame(sources, "case_id int, mark int, u bigint")
+    want = {}
+    for c, m, s in sources:
+        for u in range(30) if c < 3 and s < 30 else [s]:
+            d = pairs[c][s, u] if u < 30 and c < 3 else 0.0
+            if d < math.inf:
+                want[c, m, u] = min(d, want.get((c, m, u), math.inf))
+    got = [((r.case_id, r.mark, r.u), r.dist) for r in G.geodesic(edges, src, by=("mark",)).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    ends = spark.createDataFrame([(1, 2), (1, 2), (2, 20), (3, 5), (3, 6)], "case_id int, u bigint")
+    got = [((r.case_id, r.mark, r.u), r.dist) for r in G.geodesic(edges, src, by=("mark",), ends=ends).collect()]
+    assert sorted(got) == sorted((k, v) for k, v in want.items() if (k[0], k[2]) in {(1, 2), (2, 20), (3, 5)})
+    src = src.withColumn("src", F.col("u") * 10)
+    two = {(r.case_id, r.mark, r.u, r["rank"]): (r.dist, r.src) for r in G.two_nearest(edges, src, by=("mark",)).collect()}
+    assert {k[:3]: v[0] for k, v in two.items() if k[3] == 1} == want
+    assert {(1, 0, u): v for (c, m, u, r), v in two.items() if r == 2} == {(1, 0, u): max((pairs[1][s, u], s * 10) for s in (3, 9)) for u in range(30) if max(pairs[1][s, u] for s in (3, 9)) < math.inf}
+    met = G.two_nearest(edges, src, by=("mark",), ends=ends).collect()
+    assert sorted((r.case_id, r.mark, r.u, r["rank"], r.dist, r.src) for r in met) == sorted((*k, *v) for k, v in two.items() if (k[0], k[2]) in {(1, 2), (2, 20), (3, 5)})
+
+
+def test_states_are_held_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from voxtab.operators import ways
+
+    pairs, edges = random_graph(spark, 8)
+    d = all_ways(pairs, 30)
+    arcs = pa.Table.from_pylist([r.asDict() for r in edges.collect()])
+    points = pa.table({"case_id": [1] * 12, "comp": [n // 2 for n in range(12)], "u": list(range(12)), "src": list(range(12)), "_end": [False] * 12})
+    whole = ways.least_ways(arcs, points, ["case_id"], ["comp"], None, True).to_pylist()
+    assert {(r["comp"], r["u"]): r["dist"] for r in whole} == {(c, u): min(d[2 * c, u], d[2 * c + 1, u]) for c in range(6) for u in range(30) if min(d[2 * c, u], d[2 * c + 1, u]) < math.inf}
+    two = ways.two_least_ways(arcs, points, ["case_id"], ["comp"], True).to_pylist()
+    monkeypatch.setattr(ways, "HELD", 40)
+    order = lambda rows: sorted(tuple(r.values()) for r in rows)
+    assert order(ways.least_ways(arcs, points, ["case_id"], ["comp"], None, True).to_pylist()) == order(whole)
+    assert order(ways.two_least_ways(arcs, points, ["case_id"], ["comp"], True).to_pylist()) == order(two)
+
+
 def test_arcs_on_a_line(spark):
     points = [(i, 0, 0) for i in range(11)]
     edges = G.skeleton_edges(voxels(spark, points), UNIT)
