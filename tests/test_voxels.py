@@ -35,6 +35,36 @@ def test_components_do_not_cross_cases_and_empty_tables(spark):
     assert C.components(voxels(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("connectivity", [6, 26])
+def test_components_across_blocks_against_a_search(spark, monkeypatch, connectivity):
+    import random
+
+    from voxtab.operators import pieces
+
+    monkeypatch.setattr(pieces, "ROWS", 50)
+    draw = random.Random(connectivity)
+    near = half_neighbours(connectivity)
+    at = {(c, s, draw.randrange(-70, 70), draw.randrange(-4, 4), draw.randrange(60, 68)) for c in (0, 1) for s in "RL" for _ in range(1500)}
+    rows = sorted(at) + sorted(at)[:40] + [(None, "R", 0, 0, 0), (None, "R", 0, 0, 1), (0, None, 0, 0, 0), (0, "R", None, 0, 0), (0, "R", None, 0, 1)]
+    got = C.components(spark.createDataFrame(rows, "case_id int, side string, i int, j int, k int"), connectivity, ("case_id", "side"))
+    key = lambda i, j, k: None if i is None else i * (1 << 42) + j * (1 << 21) + k
+    want = {}
+    for start in sorted(at):
+        todo = [start] if start not in want else []
+        while todo:
+            c, s, i, j, k = x = todo.pop()
+            want[x] = key(*start[2:])
+            todo += [y for a, b, d in near for t in (1, -1) if (y := (c, s, i + t * a, j + t * b, k + t * d)) in at and y not in want]
+    wanted = sorted(((*r, want.get(r, key(*r[2:]))) for r in rows), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == wanted and got.columns == ["case_id", "side", "i", "j", "k", "comp_id"]
+    assert len({w[-1] for w in wanted}) < len(rows) * 2 / 3
+
+
+def test_small_cases_are_not_contracted_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "connected_components", lambda *_, **__: pytest.fail("one block's pieces went in rounds"))
+    assert n_components(C.components(voxels(spark, [(x, 0, 0) for x in range(50) if x % 10]))) == 5
+
+
 def test_long_line_is_one_component(spark):
     v = voxels(spark, [(x, 0, 0) for x in range(300)])
     assert n_components(C.components(v, 6)) == 1
