@@ -117,3 +117,20 @@ def test_rare_labels_may_have_many_rows(spark, n, block):
         for c in (1, 2):
             want[v, c] = max(want.get((v, c), -2), near[x, f, c])
     assert got == want
+
+
+@pytest.mark.parametrize("radius", [0.8, 1.3])
+def test_closing_happens_inside_tiles(spark, monkeypatch, radius):
+    monkeypatch.setattr(M, "TILE", 5)
+    draw, schema = random.Random(7), "case_id int, i int, j int, k int"
+    at = sorted({(c, draw.randrange(-9, 9), draw.randrange(-9, 9), draw.randrange(40, 70) - 40 * c) for c in (0, 1) for _ in range(2500)})
+    odd = [(None, 0, j, 0) for j in range(0, 6, 2)] + [(0, None, j, 0) for j in range(0, 6, 2)] + [(0, 0, j, None) for j in range(0, 6, 2)]
+    shut = [(c, i, j, k) for c in (0, 1, None) for i in range(-9, 0) for j in range(-9, 9) for k in range(-10, 70)] + [(0, None, 1, 0)]
+    voxels, blocked = spark.createDataFrame(at + odd + at[:9], schema), spark.createDataFrame(shut, schema)
+    ball = S.ball_offsets(radius, SPACING)
+    for b in (blocked, None):
+        got, want = M.close_mm(voxels, radius, SPACING, b), M._close_apart(voxels, ball, b)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.schema == want.schema
+        assert got.count() > len(at) + len(odd)
+    plan = M._close_tiles(voxels.where("i is not null and k is not null"), ball, blocked.where("i is not null"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
