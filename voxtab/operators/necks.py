@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtab.operators.components import components, largest_component
-from voxtab.operators.space import AXES, ball_offsets, nearest, range_join, shifted
+from voxtab.operators.space import AXES, ball_offsets, least_distances, nearest, range_join, shifted
 from voxtab.plans.lineage import by_shuffle, stored
 
 COMP = ("case_id", "comp_id")
@@ -95,16 +95,19 @@ def parent_thickness(lesions: DataFrame, thickness: DataFrame, radius: float, sp
     return own.join(case, "case_id").select(*COMP, "parent_mm", (F.col("parent_mm") / F.col("p95")).alias("ratio"))
 
 
-def false_blobs(found: DataFrame, truth: DataFrame, radius: float, spacing: tuple[float, float, float]) -> DataFrame:
+def false_blobs(found: DataFrame, truth: DataFrame, radius: float | None, spacing: tuple[float, float, float]) -> DataFrame:
     """(case_id, comp_id, rank, cls, n, n_vox, gt_mm): the first and second class of every component that meets no truth.
 
     Classes rank by their voxels, ties to the smaller; gt_mm is the distance to
-    the truth where that is within radius, else null.
+    the truth, where that is within radius if one is given; null in cases without truth.
     """
     met = found.join(truth.select(*PLACE), list(PLACE), "left_semi").select(*COMP).distinct()
     false = found.join(by_shuffle(met), list(COMP), "left_anti")
     n = false.groupBy(*COMP, "cls").agg(F.count("*").alias("n"))
     w = W.partitionBy(*COMP)
     n = n.withColumn("n_vox", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "cls"))).where("rank <= 2")
-    gap = range_join(false.select(*COMP, *AXES), truth.select(*PLACE), radius, spacing).groupBy("case_id", F.col("l_comp_id").alias("comp_id")).agg(F.min("d").alias("gt_mm"))
+    if radius is None:
+        gap = least_distances(false.select(*COMP, *AXES), truth.select(*PLACE), list(COMP), 1.2, spacing, "gt_mm")
+    else:
+        gap = range_join(false.select(*COMP, *AXES), truth.select(*PLACE), radius, spacing).groupBy("case_id", F.col("l_comp_id").alias("comp_id")).agg(F.min("d").alias("gt_mm"))
     return n.join(by_shuffle(gap), list(COMP), "left").select(*COMP, "rank", "cls", "n", "n_vox", "gt_mm")
